@@ -55,6 +55,9 @@ _EVENT = re.compile("`+|(?:[.!?…]|[" + WIDE_END + "])+|[" + re.escape("".join(
 _AFTER = re.compile(r"""(?:[)\]}”’»」』）】》〉›"']|\*+(?=\s|$)|_+(?=\s|$)|\[\d+(?:\s*[,–-]\s*\d+)*\]|[¹²³⁰-⁹])+""")
 _NOTE = re.compile(r"\[\d+(?:\s*[,–-]\s*\d+)*\]")
 _WS = re.compile("[" + SPACE + "]+")
+#: A sentence set without a space behind the stop of the one before it: a capitalised word that ends in a space.
+_GLUED = re.compile(r"[^\W\d_a-zà-ÿа-я][^\W\d_A-ZА-Я]*(?=[\s,])")
+_NAME_BEFORE = re.compile(r"(?:^|[\s(])[A-Z]\w*$")
 _CJK = re.compile("[" + CJK + "]")
 
 
@@ -225,7 +228,9 @@ def _sentences(t: str) -> Iterator[tuple[int, int]]:
                     if w or cjk or _CJK.match(t[nxt]) is not None:
                         if not (GO_ON.match(t, nxt) if (cjk or not w or _CJK.match(t[nxt]) is not None) else _starts_low(t, nxt)):
                             cut = e
-                elif w or (s[0] in "!?" and _CJK.match(t[nxt]) is not None and cjk):
+                    elif e == j and _CJK.match(t[nxt]) is None and _GLUED.match(t, nxt):
+                        cut = e
+                elif w or (e == j and i > begin and not t[i - 1].isspace() and _CJK.match(t[nxt]) is None and t[nxt].isupper() and _GLUED.match(t, nxt) and not _NAME_BEFORE.search(t[max(begin, i - 40) : i])) or (s[0] in "!?" and _CJK.match(t[nxt]) is not None and cjk):
                     cut = e
                     if s == ".":
                         kind = _abbreviation(t, i, begin) if i > begin else None
