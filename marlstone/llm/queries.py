@@ -10,12 +10,26 @@ from ..plans.session import table
 from .components import connected_groups
 from .mixing import mix_sources, mixture_shares
 from .sentences import sentence_units
+from .syntax import parse_files, parse_rates
 from .tokens import decode_corpus, encode_corpus, token_counts
 
 #: Tokenizer whose tokens size the mixture.
 MIX_TOKENIZER = "byte_bpe_50k"
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each distinct (file, text) once; repeated rows are the same text."""
+    return table(spark, sf_dir, "source_texts").select(clean_key("file_id").alias("file_id"), "project", "path", "text").where("file_id is not null")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_files(_texts(spark, sf_dir)).where("status in ('wrong_ending', 'corrupt')").select("file_id").distinct()
+
+
+def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_rates(parse_files(_texts(spark, sf_dir)))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rel = table(spark, sf_dir, "relationships").select(clean_key("source_id").alias("source_id"), clean_key("target_id").alias("target_id"))
     g = connected_groups(rel, "source_id", "target_id")
@@ -52,7 +66,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_units(table(spark, sf_dir, "documents").where("kind = 'prose'")).distinct()
 
 
-QUERIES = {"p7_found": p7_found, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
+QUERIES = {"p4_found": p4_found, "p4_rates": p4_rates, "p7_found": p7_found, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
 
 SQL = {
     "p7_found": r"""
