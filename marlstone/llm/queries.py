@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import clean_key
 from ..plans.session import table
 from .components import connected_groups
+from .handwritten import label_files
 from .mixing import mix_sources, mixture_shares
 from .sentences import sentence_units
 from .syntax import parse_files, parse_rates
@@ -22,6 +23,18 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "source_texts").select(clean_key("file_id").alias("file_id"), "project", "path", "text").where("file_id is not null")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label_files(_texts(spark, sf_dir), table(spark, sf_dir, "library_files")).where("label is not null").select("file_id").distinct()
+
+
+def p1_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file with text: its label (hand_written where it has none) beside language and size of its latest file record."""
+    labels = label_files(_texts(spark, sf_dir), table(spark, sf_dir, "library_files"))
+    rec = table(spark, sf_dir, "file_records").select(clean_key("id").alias("file_id"), "language", "size", "recorded_at").groupBy("file_id").agg(
+        F.max_by(F.struct("language", "size"), "recorded_at").alias("r"))
+    return labels.join(rec, "file_id", "left").select("file_id", "path", F.col("r.language").alias("language"), F.col("r.size").alias("size"), "family", F.coalesce("label", F.lit("hand_written")).alias("label"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_files(_texts(spark, sf_dir)).where("status in ('wrong_ending', 'corrupt')").select("file_id").distinct()
 
@@ -66,7 +79,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_units(table(spark, sf_dir, "documents").where("kind = 'prose'")).distinct()
 
 
-QUERIES = {"p4_found": p4_found, "p4_rates": p4_rates, "p7_found": p7_found, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_labels": p1_labels, "p4_found": p4_found, "p4_rates": p4_rates, "p7_found": p7_found, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
 
 SQL = {
     "p7_found": r"""
