@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import clean_key
 from ..plans.session import table
 from .components import connected_groups
+from .credentials import corpus_words, find_credentials, redact_credentials
 from .handwritten import label_files
 from .mixing import mix_sources, mixture_shares
 from .sentences import sentence_units
@@ -43,6 +44,21 @@ def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_rates(parse_files(_texts(spark, sf_dir)))
 
 
+def _secret_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = lambda df, t, i, x: df.select(F.lit(t).alias("record_table"), clean_key(i).alias("record_id"), F.col(x).alias("text")).where("record_id is not null")
+    return named(table(spark, sf_dir, "source_texts"), "source_texts", "file_id", "text").unionByName(named(table(spark, sf_dir, "evidence_items"), "evidence_items", "id", "snippet"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _secret_texts(spark, sf_dir)
+    return find_credentials(texts, corpus_words(texts)).distinct()
+
+
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _secret_texts(spark, sf_dir)
+    return redact_credentials(texts, corpus_words(texts))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rel = table(spark, sf_dir, "relationships").select(clean_key("source_id").alias("source_id"), clean_key("target_id").alias("target_id"))
     g = connected_groups(rel, "source_id", "target_id")
@@ -79,7 +95,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_units(table(spark, sf_dir, "documents").where("kind = 'prose'")).distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_labels": p1_labels, "p4_found": p4_found, "p4_rates": p4_rates, "p7_found": p7_found, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_labels": p1_labels, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_redacted": p5_redacted, "p7_found": p7_found, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
 
 SQL = {
     "p7_found": r"""
