@@ -37,26 +37,30 @@ def degrees(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, isolated: DataFrame | None = None) -> DataFrame:
     """(id, component): least node reachable without regard to direction.
 
-    Minimum labels spread along the edges and through the labels themselves (the label of a node's label), so chains
-    shorten by half each round; a round aggregates with map-side combine and joins once.
+    Contraction: every node points to the least node of its neighbourhood, pointers are followed twice, and the graph
+    shrinks to the nodes pointed at. Each round at least halves what still has neighbours, so the rounds are few and the
+    later ones small; the pointer tables are chained at the end. Minima are aggregated before the shuffle, and a hub is a
+    skewed probe side, never a group.
     """
     ws = Workspace(edges.sparkSession, "components")
-    pairs = ws.write(neighbours(edges, "both"), "pairs")
-    labels = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("l"))
-    labels = ws.write(labels.select(F.col("u").alias("id"), F.col("l").alias("label")), "labels")
-    while True:
-        near = pairs.join(labels, pairs.v == labels.id).select(F.col("u").alias("id"), "label").unionByName(labels.select("id", "label"))
-        best = near.groupBy("id").agg(F.min("label").alias("label"))
-        jump = best.join(labels.select(F.col("id").alias("j"), F.col("label").alias("further")), F.col("label") == F.col("j"), "left")
-        new = ws.write(jump.select("id", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
-        changed = new.join(labels.withColumnRenamed("label", "old"), "id").where("label <> old").limit(1).count()
-        ws.drop(labels)
-        labels = new
-        if not changed:
-            break
-    out = labels.select("id", F.col("label").alias("component"))
-    if isolated is not None:
-        out = out.unionByName(isolated.select("id").distinct().join(out, "id", "left_anti").select("id", F.col("id").alias("component")))
+    ordered = lambda d, x, y: d.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("u"), F.greatest(x, y).alias("v")).distinct()
+    pairs = ws.write(ordered(edges, "source_id", "target_id"), "pairs")
+    ends = edges.select(F.col("source_id").alias("id")).unionByName(edges.select(F.col("target_id").alias("id")))
+    maps: list[DataFrame] = []
+    while pairs.limit(1).count():
+        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        up = ws.write(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("p")), "up")
+        for _ in range(2):
+            hop = up.select(F.col("u").alias("q"), F.col("p").alias("pp"))
+            up = ws.write(up.join(hop, up.p == hop.q).select("u", F.col("pp").alias("p")), "up")
+        maps.append(up)
+        a, b = up.select("u", F.col("p").alias("pu")), up.select(F.col("u").alias("v"), F.col("p").alias("pv"))
+        new = ws.write(ordered(pairs.join(a, "u").join(b, "v"), "pu", "pv"), "pairs")
+        ws.drop(pairs)
+        pairs = new
+    out = (ends if isolated is None else ends.unionByName(isolated.select("id"))).distinct().withColumn("component", F.col("id"))
+    for m in maps:
+        out = out.join(m, out.component == m.u, "left").select("id", F.coalesce("p", "component").alias("component"))
     return out
 
 
