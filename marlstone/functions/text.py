@@ -51,7 +51,7 @@ def estimated_tokens(byte_count: Column | str) -> Column:
 def source_lines(c: Column | str) -> Column:
     """Lines as str.splitlines() cuts them: every Unicode line end, none after the last."""
     ends = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
-    t = F.regexp_replace(_c(c), f"(?:{ends})$", "")
+    t = F.regexp_replace(_c(c), f"(?:{ends})\\z", "")
     return F.when(_c(c) == "", F.array().cast("array<string>")).otherwise(F.split(t, ends, -1))
 
 
