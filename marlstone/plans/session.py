@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,8 +30,27 @@ def build_session(master: str = "local[8]", app: str = "marlstone", shuffle_part
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once a context, so that they need no path to it."""
+    context = spark.sparkContext
+    if getattr(context, "_marlstone_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="marlstone-code-")
+    atexit.register(shutil.rmtree, folder, True)
+    path = f"{folder}/marlstone-code.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for at, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    z.write(f"{at}/{n}", os.path.relpath(f"{at}/{n}", os.path.dirname(root)))
+    context.addPyFile(path)
+    context._marlstone_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, read by path so that pruning and pushdown reach the scan."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
