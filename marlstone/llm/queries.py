@@ -12,7 +12,7 @@ from .credentials import corpus_words, find_credentials, redact_credentials
 from .handwritten import label_files
 from .mixing import mix_sources, mixture_shares
 from .sentences import sentence_units
-from .syntax import parse_files, parse_rates
+from .syntax import grammar_matrix, parse_files, parse_rates
 from .tokens import decode_corpus, encode_corpus, token_counts
 
 #: Tokenizer whose tokens size the mixture.
@@ -40,6 +40,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_files(_texts(spark, sf_dir)).where("status in ('wrong_ending', 'corrupt')").select("file_id").distinct()
 
 
+def p4_grammars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file with text against every grammar: those that take it, in the order of the ranking."""
+    return grammar_matrix(_texts(spark, sf_dir))
+
+
 def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_rates(parse_files(_texts(spark, sf_dir)))
 
@@ -60,8 +65,9 @@ def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rel = table(spark, sf_dir, "relationships").select(clean_key("source_id").alias("source_id"), clean_key("target_id").alias("target_id"))
-    g = connected_groups(rel, "source_id", "target_id")
+    rel = table(spark, sf_dir, "relationships").select(clean_key("source_id").alias("source_id"), clean_key("target_id").alias("target_id")).where("target_id is not null")
+    # A target without a source is linked with nothing but itself.
+    g = connected_groups(rel.withColumn("source_id", F.coalesce("source_id", "target_id")), "source_id", "target_id")
     return g.select(F.col("node").alias("node_id"), F.col("group").alias("group_id"))
 
 
@@ -73,7 +79,7 @@ def p8_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose decoded ids differ from the text; there are none."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     back = decode_corpus(encode_corpus(docs)).withColumnRenamed("text", "decoded")
-    return docs.join(back, "doc_id", "left").where(~F.col("text").eqNullSafe(F.col("decoded"))).select("doc_id")
+    return docs.join(back, "doc_id", "left").where(~F.coalesce("text", F.lit("")).eqNullSafe(F.col("decoded"))).select("doc_id")
 
 
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +101,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_units(table(spark, sf_dir, "documents").where("kind = 'prose'")).distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_labels": p1_labels, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_redacted": p5_redacted, "p7_found": p7_found, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_labels": p1_labels, "p4_found": p4_found, "p4_grammars": p4_grammars, "p4_rates": p4_rates, "p5_found": p5_found, "p5_redacted": p5_redacted, "p7_found": p7_found, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
 
 SQL = {
     "p7_found": r"""

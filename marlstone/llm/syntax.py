@@ -5,7 +5,8 @@ apart), then parsed by the grammars in that order, the language of its path firs
 makes it a case; a foreign grammar taking it tells a wrong ending, none taking it corruption. Empty texts parse nowhere
 and are no cases; a file whose path names no supported language is ranked and parsed too, but never a case.
 
-One Arrow pass, no shuffle for the verdicts; the rates are two aggregations with map-side combine.
+``parse_files`` stops at the first grammar that settles a file (its own, where it takes the text); ``grammar_matrix`` tries
+all of them on every file. One Arrow pass, no shuffle for the verdicts; the rates are two aggregations with map-side combine.
 """
 
 from __future__ import annotations
@@ -63,6 +64,25 @@ def parse_files(files: DataFrame) -> DataFrame:
     return files.select("file_id", "project", "path", "text").mapInArrow(run, s)
 
 
+def grammar_matrix(files: DataFrame) -> DataFrame:
+    """files (file_id, path, text) -> (file_id, language, ranked, accepted): all grammars tried on every file with text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, own, ranked, taken = [], [], [], []
+            for i, p, t in zip(*(b.column(k).to_pylist() for k in range(3))):
+                if t and t.strip():
+                    language = next((v for k, v in ENDINGS.items() if p and p.endswith(k)), None)
+                    order = rank_languages(t, None)
+                    ids.append(i)
+                    own.append(language)
+                    ranked.append(order[0])
+                    taken.append([k for k in order if accepts(k, t)])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(own, pa.string()), pa.array(ranked, pa.string()), pa.array(taken, pa.list_(pa.string()))], ["file_id", "language", "ranked", "accepted"])
+
+    return files.select("file_id", "path", "text").where("text is not null").mapInArrow(run, "file_id string, language string, ranked string, accepted array<string>")
+
+
 def parse_rates(parsed: DataFrame) -> DataFrame:
     """(project, language, files, failed, wrong_ending, rate): files with text of the supported endings."""
     bad = F.col("status").isin("wrong_ending", "corrupt")

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from marlstone.llm.grammars import accepts
-from marlstone.llm.syntax import parse_files, parse_rates, rank_languages, verdict
+from marlstone.llm.syntax import grammar_matrix, parse_files, parse_rates, rank_languages, verdict
 
 GOOD = {
     "javascript": [
@@ -91,5 +91,7 @@ def test_verdicts(spark):
     rates = {(r.project, r.language): (r.files, r.failed, r.wrong_ending) for r in parse_rates(parse_files(df)).collect()}
     assert rates == {("p", "python"): (2, 1, 1), ("p", "javascript"): (1, 1, 0)}
     assert parse_files(df.limit(0)).count() == 0
+    matrix = {r.file_id: (r.language, r.accepted) for r in grammar_matrix(df).collect()}
+    assert matrix["2"] == ("python", ["go"]) and matrix["3"] == ("javascript", []) and set(matrix) == {"1", "2", "3", "6", "7"}
     assert rank_languages("package a\nfunc f() {\n}\n", None)[0] == "go"
     assert verdict("a.toml", "a = 1")[2] == "valid" and tomllib.loads("a = 1")
