@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.session import Workspace
+from .digest import group_digest
+from .prefix import running
 
 CALL_KINDS = ["calls", "route-handler"]
 IMPACT_KINDS = ["calls", "route-handler", "references"]
@@ -65,18 +67,27 @@ def components(edges: DataFrame, isolated: DataFrame | None = None) -> DataFrame
 
 
 def component_records(edges: DataFrame, comp: DataFrame, limit: int | None = None) -> DataFrame:
-    """(component, component_id, node_count, edge_count, position): largest first, then least id."""
-    nodes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("node_count"), F.sort_array(F.collect_list("id")).alias("ids"))
+    """(component, component_id, node_count, edge_count, position): largest first, then least id.
+
+    component_id is a two-level digest of the node ids, so that the largest component is no single task. With a limit
+    only the leading components are ranked; without, positions come from a range-partitioned pass.
+    """
+    nodes = group_digest(comp, ["component"], F.col("id"), "digest").withColumnRenamed("rows", "node_count")
     inner = edges.join(comp.withColumnRenamed("id", "source_id"), "source_id").groupBy("component").agg(F.count(F.lit(1)).alias("edge_count"))
-    joined = nodes.join(inner, "component", "left")
-    pos = F.row_number().over(Window.orderBy(F.desc("node_count"), "component"))
-    ident = F.concat(F.lit("graph-component_"), F.substring(F.sha1(F.concat_ws("\u001f", F.lit("graph-component"), F.array_join("ids", "\u001f"))), 1, 16))
-    out = joined.select("component", ident.alias("component_id"), "node_count", F.coalesce("edge_count", F.lit(0)).alias("edge_count"), pos.alias("position"))
-    return out.where(F.col("position") <= limit) if limit else out
+    ident = F.concat(F.lit("graph-component_"), F.substring("digest", 1, 16))
+    out = nodes.join(inner, "component", "left").select("component", ident.alias("component_id"), "node_count", F.coalesce("edge_count", F.lit(0)).alias("edge_count"))
+    if limit:
+        return first(out, [F.desc("node_count"), F.asc("component")], limit)
+    return running(out.withColumns({"_all": F.lit("all"), "_size": -F.col("node_count")}), "_all", ["_size", "component"]).drop("_all", "_size")
+
+
+def first(df: DataFrame, order: list, n: int, name: str = "position") -> DataFrame:
+    """The n leading rows of the whole table with their rank: every partition sends its n best, nothing is sorted as a whole."""
+    return df.orderBy(*order).limit(n).withColumn(name, F.row_number().over(Window.orderBy(*order)))
 
 
 def traverse(edges: DataFrame, seeds: DataFrame, *, direction: str = "both", depth: int = 2, limit: int | None = 80, kinds: list[str] | None = None, group: str = "seed") -> DataFrame:
-    """(seed group, id, distance): nodes within depth of each group's seeds, at most limit per group.
+    """(group, id, distance, rank): nodes within depth of each group's seeds, at most limit per group; rank is 0 without a limit.
 
     seeds (group, id[, pos]); a group is one traversal with one queue. With limit, a group's visits are ranked in queue
     order and cut exactly there.
@@ -88,19 +99,21 @@ def traverse(edges: DataFrame, seeds: DataFrame, *, direction: str = "both", dep
     ws = Workspace(edges.sparkSession, "traverse")
     step = neighbours(edges, direction, kinds)
     start = seeds if "pos" in seeds.columns else seeds.withColumn("pos", F.lit(0))
-    first = F.row_number().over(Window.partitionBy(group).orderBy("pos", "id"))
-    seen = start.groupBy(group, "id").agg(F.min("pos").alias("pos")).select(group, "id", F.lit(0).alias("distance"), first.alias("rank"))
+    lead = F.row_number().over(Window.partitionBy(group).orderBy("pos", "id"))
+    seen = start.groupBy(group, "id").agg(F.min("pos").alias("pos")).select(group, "id", F.lit(0).alias("distance"), (lead if limit is not None else F.lit(0)).alias("rank"))
     if limit is not None:
         seen = seen.where(F.col("rank") <= limit)
     seen = frontier = ws.write(seen, "seen")
     for d in range(1, depth + 1):
         reached = frontier.join(step, frontier.id == step.u).select(group, F.col("v").alias("id"), F.col("rank").alias("via"))
         fresh = reached.join(seen.select(group, "id"), [group, "id"], "left_anti").groupBy(group, "id").agg(F.min("via").alias("via"))
-        sizes = seen.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-        order = F.row_number().over(Window.partitionBy(group).orderBy("via", "id"))
-        ranked = fresh.join(sizes, group).select(group, "id", F.lit(d).alias("distance"), (F.col("n") + order).cast("int").alias("rank"))
-        if limit is not None:
-            ranked = ranked.where(F.col("rank") <= limit)
+        if limit is None:
+            ranked = fresh.select(group, "id", F.lit(d).alias("distance"), F.lit(0).alias("rank"))
+        else:
+            # The bound on the order lets every partition drop all but its first rows before the shuffle.
+            sizes = seen.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+            near = fresh.withColumn("o", F.row_number().over(Window.partitionBy(group).orderBy("via", "id"))).where(F.col("o") <= limit)
+            ranked = near.join(sizes, group).select(group, "id", F.lit(d).alias("distance"), (F.col("n") + F.col("o")).cast("int").alias("rank")).where(F.col("rank") <= limit)
         frontier = ws.write(ranked, "front")
         if frontier.limit(1).count() == 0:
             break
@@ -142,7 +155,8 @@ def layers(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         remaining = ws.write(remaining.join(free, "id", "left_anti"), "open")
         open_edges = ws.write(open_edges.join(free.select(F.col("id").alias("source_id")), "source_id", "left_anti"), "edges")
         layer += 1
-    rest = remaining.select("id", (F.lit(layer - 1) + F.row_number().over(Window.orderBy("id"))).cast("int").alias("layer"), F.lit(True).alias("cyclic"))
+    numbered = running(remaining.withColumn("_all", F.lit("all")), "_all", ["id"])
+    rest = numbered.select("id", (F.lit(layer - 1) + F.col("position")).cast("int").alias("layer"), F.lit(True).alias("cyclic"))
     return rest if done is None else done.withColumn("cyclic", F.lit(False)).unionByName(rest)
 
 

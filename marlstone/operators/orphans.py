@@ -37,21 +37,31 @@ def live_intervals(events: DataFrame) -> DataFrame:
 
 
 class OrphanTracker:
-    """Feed spans of parent rows and references in order of time; ``orphans`` and ``snapshot`` read the state."""
+    """Feed spans of parent rows and references in order of time; ``orphans``, ``open_at`` and ``open_counts`` read the state.
+
+    The index is a list of deltas, one per span: a step writes the intervals that arrived and touches no others. A
+    reference is live if any delta says so, so deltas need no merging; they are folded into one when there are many.
+    """
+
+    FOLD = 16
 
     def __init__(self, spark, name: str = "orphans"):
         self.ws = Workspace(spark, name)
-        self.index: DataFrame | None = None
+        self.deltas: list[DataFrame] = []
         self.found: list[DataFrame] = []
         self.refs: list[DataFrame] = []
 
+    @property
+    def index(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.deltas)
+
     def step(self, parents: DataFrame, refs: DataFrame) -> DataFrame:
         """parents (key, recorded_at, deleted_at), refs (ref_table, ref_field, ref_id, key, shown, at) of one span."""
-        arrived = parents.select("key", "recorded_at", "deleted_at")
-        if self.index is not None:
-            arrived = arrived.unionByName(self.index.select("key", F.col("live_from").alias("recorded_at"), F.col("live_to").alias("deleted_at")))
-        old, self.index = self.index, self.ws.write(live_intervals(arrived), "index")
-        self.ws.drop(old)
+        self.deltas.append(self.ws.write(live_intervals(parents.select("key", "recorded_at", "deleted_at")), "index"))
+        if len(self.deltas) > self.FOLD:
+            folded = self.ws.write(live_intervals(self.index.select("key", F.col("live_from").alias("recorded_at"), F.col("live_to").alias("deleted_at"))), "index")
+            self.ws.drop(*self.deltas)
+            self.deltas = [folded]
         i = self.index
         waiting = refs.join(i, (refs.key == i.key) & (refs.at >= i.live_from) & (refs.at < i.live_to), "left_anti")
         waiting = self.ws.write(waiting, "pending")
@@ -63,12 +73,37 @@ class OrphanTracker:
         """Every reference that found nothing live at its own time."""
         return reduce(DataFrame.unionByName, self.found)
 
+    def references(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.refs)
+
     def open_at(self, moment) -> DataFrame:
         """The references made by ``moment`` whose key is not live then: resolved ones gone, reopened ones back."""
-        refs = reduce(DataFrame.unionByName, self.refs).where(F.col("at") <= F.lit(moment))
-        i = self.index.where((F.col("live_from") <= F.lit(moment)) & (F.col("live_to") > F.lit(moment))).select("key")
+        refs = self.references().where(F.col("at") <= F.lit(moment))
+        i = self.index.where((F.col("live_from") <= F.lit(moment)) & (F.col("live_to") > F.lit(moment))).select("key").distinct()
         return refs.join(i, "key", "left_anti")
 
+    def open_counts(self) -> DataFrame:
+        """(ref_table, period, refs, open): at the end of every month, the references made so far and those open then.
+
+        References are counted per key and month first; a key's intervals are few, and each counts for the months whose
+        end it covers, so the state of all months is read in one pass.
+        """
+        month = F.trunc(F.col("at").cast("timestamp"), "month")
+        n = self.references().groupBy("ref_table", "key", month.alias("m")).agg(F.count(F.lit(1)).alias("n"))
+        n = self.ws.write(n, "counts")
+        months = n.agg(F.min("m").alias("lo"), F.max("m").alias("hi"))
+        merged = live_intervals(self.index.select("key", F.col("live_from").alias("recorded_at"), F.col("live_to").alias("deleted_at")))
+        # The last month whose end an interval covers is the one before the month it ends in.
+        covers = merged.select("key", F.trunc("live_from", "month").alias("a"), F.add_months(F.trunc(F.col("live_to") , "month"), -1).alias("b"))
+        hit = n.join(covers, "key").join(F.broadcast(months)).select("ref_table", "n", F.greatest("m", "a").alias("a"), F.least("b", "hi").alias("b")).where("a <= b")
+        live = hit.select("ref_table", "n", F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("m")).groupBy("ref_table", "m").agg(F.sum("n").alias("live"))
+        # One row per table and month: small enough for a window per table.
+        made = n.groupBy("ref_table", "m").agg(F.sum("n").alias("n"))
+        grid = made.select("ref_table").distinct().join(F.broadcast(months)).select("ref_table", F.explode(F.sequence("lo", "hi", F.expr("interval 1 month"))).alias("m"))
+        so_far = F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy("ref_table").orderBy("m"))
+        out = grid.join(made, ["ref_table", "m"], "left").join(live, ["ref_table", "m"], "left")
+        return out.select("ref_table", F.date_format("m", "yyyy-MM").alias("period"), so_far.alias("refs"), (so_far - F.coalesce("live", F.lit(0))).alias("open"))
+
 
 def spans(*frames: DataFrame, at: str, n: int) -> list[tuple]:
     """n half-open spans of equal length over the times of the frames; the first and the last are open-ended."""

@@ -100,6 +100,11 @@ def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ref_table", "ref_field", "period", "refs", F.coalesce("orphans", F.lit(0)).cast("bigint").alias("orphans"))
 
 
+def p3_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At the end of every month: references made so far and those open then, per table."""
+    return track(spark, sf_dir).open_counts()
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = snapshot_changes(
         table(spark, sf_dir, "file_records").withColumns({"project": clean_key("project"), "commit": clean_key("commit")}),
@@ -110,7 +115,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("owner").alias("project"), F.col("prev_version").alias("prev_commit"), F.col("version").alias("commit"), F.col("key").alias("path"), "change")
 
 
-QUERIES = {"p2_found": p2_found, "p2_paths": p2_paths, "p2_descendants": p2_descendants, "p3_found": p3_found, "p3_counts": p3_counts, "p6_found": p6_found}
+QUERIES = {"p2_found": p2_found, "p2_paths": p2_paths, "p2_descendants": p2_descendants, "p3_found": p3_found, "p3_counts": p3_counts, "p3_snapshots": p3_snapshots, "p6_found": p6_found}
 
 _HELD = r"""
 WITH RECURSIVE held AS (
@@ -160,6 +165,11 @@ SELECT ancestor, descendant, distance FROM up""",
     "p3_counts": _REFS + r"""SELECT ref_table, ref_field, period, count(*) AS refs, count(*) FILTER (o) AS orphans FROM (
   SELECT t.ref_table, t.ref_field, strftime(t.born_at, '%Y-%m') AS period, (t.ref_table, t.ref_field, t.ref_id, t.ref_key) IN (SELECT (ref_table, ref_field, ref_id, ref_key) FROM orphan) AS o
   FROM timed t) GROUP BY ALL""",
+    "p3_snapshots": _REFS + r""", mo AS (SELECT unnest(generate_series((SELECT date_trunc('month', min(born_at)) FROM timed), (SELECT date_trunc('month', max(born_at)) FROM timed), INTERVAL 1 MONTH))::TIMESTAMP AS m),
+tab AS (SELECT DISTINCT ref_table FROM timed)
+SELECT tab.ref_table, strftime(mo.m, '%Y-%m') AS period, count(t.ref_id) AS refs, count(t.ref_id) FILTER (NOT EXISTS (SELECT 1 FROM parents p WHERE p.ref_field = t.ref_field AND p.k = t.ref_key AND coalesce(p.project, '') = coalesce(t.project, '')
+  AND p.a < mo.m + INTERVAL 1 MONTH AND (p.b IS NULL OR p.b >= mo.m + INTERVAL 1 MONTH))) AS open
+FROM tab CROSS JOIN mo LEFT JOIN timed t ON t.ref_table = tab.ref_table AND t.born_at < mo.m + INTERVAL 1 MONTH GROUP BY ALL""",
     "p6_found": r"""
 WITH snap AS (SELECT name AS project, commit, row_number() OVER (PARTITION BY name ORDER BY a, commit) AS i
   FROM (SELECT name, commit, min(analyzed_at) AS a FROM project_snapshots GROUP BY ALL)),

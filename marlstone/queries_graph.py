@@ -9,6 +9,7 @@ from .catalog import Index, sql
 from .functions.paths import preferred_label, view_category
 from .functions.text import split_tokens
 from .operators import graph as g
+from .operators.digest import group_digest_sql
 from .plans.session import Workspace
 from .queries_functions import CATEGORY, LABEL, TOKENS
 
@@ -116,9 +117,9 @@ def _(x):
     return g.components(_graph(x)[0])
 
 
-@query("graph02_component_records", sql(CC + """SELECT component, 'graph-component_' || substr(sha1('graph-component' || chr(31) || string_agg(id, chr(31) ORDER BY id)), 1, 16) AS component_id, count(*) AS node_count,
-  any_value((SELECT count(*) FROM edge e JOIN cc c2 ON e.source_id = c2.id WHERE c2.component = cc.component)) AS edge_count, row_number() OVER (ORDER BY count(*) DESC, component) AS position
-FROM cc GROUP BY component QUALIFY position <= 120"""))
+@query("graph02_component_records", sql(CC + """, dg AS (""" + group_digest_sql('cc', ['component'], 'id') + """)
+SELECT component, 'graph-component_' || substr(digest, 1, 16) AS component_id, rows AS node_count, (SELECT count(*) FROM edge e JOIN cc c2 ON e.source_id = c2.id WHERE c2.component = dg.component) AS edge_count,
+  row_number() OVER (ORDER BY rows DESC, component) AS position FROM dg QUALIFY position <= 120"""))
 def _(x):
     edges, _ = _graph(x)
     return g.component_records(edges, g.components(edges), 120)
@@ -193,7 +194,7 @@ SELECT * FROM (SELECT a.module AS source, b.module AS target, e.kind, count(*) A
 FROM edge e JOIN m a ON e.source_id = a.id JOIN m b ON e.target_id = b.id WHERE a.module <> b.module AND (a.module IN ('src', 'tests') OR b.module IN ('src', 'tests')) GROUP BY a.module, b.module, e.kind) WHERE position <= 120"""))
 def _(x):
     d = module_dependencies(x).where("source in ('src', 'tests') or target in ('src', 'tests')")
-    return d.withColumn("position", F.row_number().over(Window.orderBy(F.desc("n"), "source", "target", "kind"))).where("position <= 120")
+    return g.first(d, [F.desc("n"), F.asc("source"), F.asc("target"), F.asc("kind")], 120)
 
 
 EXPLORE = "ledger"
@@ -225,8 +226,8 @@ def domain_slice(x: Index) -> tuple[DataFrame, DataFrame]:
     inner = x.edges.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
     deg = inner.select(F.col("source_id").alias("id")).unionByName(inner.select(F.col("target_id").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
     d = scoped.join(deg, "id", "left").select("id", "path", "line", "qualified_name", F.coalesce("degree", F.lit(0)).alias("degree"))
-    paths = d.groupBy("path").agg(F.sum("degree").alias("w")).withColumn("rn", F.row_number().over(Window.orderBy(F.desc("w"), "path"))).where("rn <= 40").select("path")
-    nodes = d.join(paths, "path", "left_semi").withColumn("position", F.row_number().over(Window.orderBy(F.desc("degree"), "path", "line", "id"))).where("position <= 160")
+    paths = d.groupBy("path").agg(F.sum("degree").alias("w")).orderBy(F.desc("w"), "path").limit(40).select("path")
+    nodes = g.first(d.join(paths, "path", "left_semi"), [F.desc("degree"), F.asc("path"), F.asc("line"), F.asc("id")], 160)
     return nodes, inner
 
 
@@ -243,7 +244,7 @@ def _(x):
     a = nodes.select(F.col("id").alias("source_id"), F.col("qualified_name").alias("source"), F.col("degree").alias("da"))
     b = nodes.select(F.col("id").alias("target_id"), F.col("qualified_name").alias("target"), F.col("degree").alias("db"))
     e = inner.join(a, "source_id").join(b, "target_id")
-    return e.withColumn("position", F.row_number().over(Window.orderBy(F.desc(F.col("da") + F.col("db")), "id"))).where("position <= 240").select("id", "kind", "source", "target", "position")
+    return g.first(e.withColumn("d", F.col("da") + F.col("db")), [F.desc("d"), F.asc("id")], 240).select("id", "kind", "source", "target", "position")
 
 
 @query("graph11_scope_filter", sql("SELECT e.id FROM edge e JOIN node a ON a.id = e.source_id JOIN node b ON b.id = e.target_id WHERE a.path LIKE 'src/%' AND b.path LIKE 'src/%'"))

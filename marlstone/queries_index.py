@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from .catalog import K, P, Index, sql
 from .functions import paths as fp
-from .functions import redact as fr
 from .functions import text as ft
+from .operators.digest import group_digest, group_digest_sql
 from .operators.prefix import running
-from .operators.resolve import first_match, import_candidates, prefixes, unique_match
 from .plans.session import Workspace
-from .queries_functions import AUX, CATEGORY, NAME, ROLE, TEST, TOKENSET, _arr, _list, _sid
+from .queries_functions import NAME, _arr, _list, _sid
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -71,11 +70,13 @@ def _(x):
     return r.join(stop, "project", "left").where("at is null or position < at").select("id", "position", F.col("running_bytes").cast("bigint").alias("running_bytes"))
 
 
-@query("src05_tree_manifest", sql("SELECT project, sha256(string_agg(path || chr(31) || coalesce(size, -1)::VARCHAR || chr(31) || coalesce(sha256, ''), chr(30) ORDER BY path, id)) AS manifest, count(*) AS files FROM fil WHERE project IS NOT NULL GROUP BY project"))
+MANIFEST_ROW = "path || chr(31) || id || chr(31) || coalesce(size, -1)::VARCHAR || chr(31) || coalesce(sha256, '')"
+
+
+@query("src05_tree_manifest", sql(group_digest_sql("fil WHERE project IS NOT NULL", ["project"], MANIFEST_ROW, "manifest")))
 def _(x):
-    row = F.concat_ws("\u001f", "path", F.coalesce("size", F.lit(-1)).cast("string"), F.coalesce("sha256", F.lit("")))
-    return x.files.where("project is not null").groupBy("project").agg(F.sort_array(F.collect_list(F.struct("path", "id", row.alias("r")))).alias("l"), N().alias("files")).select(
-        "project", F.sha2(F.array_join("l.r", "\u001e"), 256).alias("manifest"), "files")
+    row = F.concat_ws("\u001f", "path", "id", F.coalesce("size", F.lit(-1)).cast("string"), F.coalesce("sha256", F.lit("")))
+    return group_digest(x.files.where("project is not null"), ["project"], row, "manifest")
 
 
 @query("src09_ordered_nodes", sql("SELECT id, row_number() OVER (PARTITION BY project ORDER BY path, line, id) AS position FROM node"))
@@ -374,7 +375,6 @@ def _(x):
 
 @query("agg23_stage_durations", """SELECT user_id, event_type, count(*) AS attempts, round(epoch(max(ts)) - epoch(min(ts)), 6) AS seconds, row_number() OVER (PARTITION BY user_id ORDER BY round(epoch(max(ts)) - epoch(min(ts)), 6) DESC, event_type) AS rank FROM events GROUP BY user_id, event_type""")
 def _(x):
-    sec = F.round((F.unix_micros(F.col("ts").cast("timestamp")) / 1e6), 6)
     e = x.raw("events").withColumn("u", F.unix_micros(F.col("ts").cast("timestamp"))).groupBy("user_id", "event_type").agg(N().alias("attempts"), F.round((F.max("u") - F.min("u")) / 1e6, 6).alias("seconds"))
     return e.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("seconds"), "event_type")))
 
@@ -392,7 +392,6 @@ def _(x):
     return m.groupBy(F.col("m.path").alias("path")).agg(F.max(prio).alias("priority"), F.array_join(F.sort_array(F.collect_set("id")), ",").alias("members"))
 
 
-@query("agg26_bundle_hash", sql("SELECT project, module, sha256(string_agg(path || chr(0) || coalesce(sha256, ''), chr(10) ORDER BY path, id)) AS bundle FROM fil WHERE module IS NOT NULL AND project IS NOT NULL GROUP BY project, module"))
+@query("agg26_bundle_hash", sql(group_digest_sql("fil WHERE module IS NOT NULL AND project IS NOT NULL", ["project", "module"], "path || chr(0) || coalesce(sha256, '') || chr(0) || id", "bundle")))
 def _(x):
-    return x.files.where("module is not null and project is not null").groupBy("project", "module").agg(F.sort_array(F.collect_list(F.struct("path", "id", F.concat_ws("\0", "path", F.coalesce("sha256", F.lit(""))).alias("r")))).alias("l")).select(
-        "project", "module", F.sha2(F.array_join("l.r", "\n"), 256).alias("bundle"))
+    return group_digest(x.files.where("module is not null and project is not null"), ["project", "module"], F.concat_ws("\0", "path", F.coalesce("sha256", F.lit("")), "id"), "bundle")

@@ -14,7 +14,7 @@ from .operators.prefix import running
 from .operators.resolve import first_match, import_candidates, prefixes, unique_match
 from .plans.session import Workspace
 from .queries_functions import AUX, NAME, ROLE, TEST, TOKENSET, _list, _sid
-from .queries_index import N, top
+from .queries_index import OPTION_SQL, N, options, top
 from .sources import extract as ex
 
 QUERIES: dict = {}
@@ -316,7 +316,9 @@ def _(x):
     t = x.files.where("project is not null").join(c, F.col("id") == F.col("file_id"), "left").select("project", "path", F.coalesce("n", F.lit(0)).alias("n"), "lines", "module", tier.alias("tier"))
     depth = F.when(F.col("tier").isin(1, 3), F.size(F.split("path", "/"))).otherwise(0)
     head = t.where("tier < 4").withColumn("rn", F.row_number().over(Window.partitionBy("project", "tier").orderBy(depth, "path"))).where("rn <= case tier when 1 then 1 when 2 then 2 else 4 end")
-    rest = t.join(head.select("project", "path"), ["project", "path"], "left_anti").withColumn("mn", F.sum("n").over(Window.partitionBy("project", "module")))
+    rest = t.join(head.select("project", "path"), ["project", "path"], "left_anti")
+    sums = rest.groupBy("project", F.coalesce("module", F.lit("")).alias("mod")).agg(F.sum("n").alias("mn"))
+    rest = rest.withColumn("mod", F.coalesce("module", F.lit(""))).join(sums, ["project", "mod"])
     rep = top(rest, ["project", "module"], [F.desc("n"), "lines", F.desc("path")], 1)
     steps = head.select("project", "path", F.col("tier").alias("a"), F.col("rn").alias("b"), F.lit(0).cast("bigint").alias("m"), F.lit("").alias("mod")).unionByName(
         rep.select("project", "path", F.lit(4).alias("a"), F.lit(0).alias("b"), (-F.col("mn")).alias("m"), F.coalesce("module", F.lit("")).alias("mod")))
@@ -352,8 +354,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY title, id) AS rn, c
 SELECT id, cls, rn AS position FROM r WHERE (cls = 0 AND rn <= {HINT_LIMIT}) OR (cls = 1 AND rn <= least(24, greatest(8, {HINT_LIMIT} // 6), greatest(0, {HINT_LIMIT} - least(prim, {HINT_LIMIT}))))"""))
 def _(x):
     h = x.features.select("id", F.when(F.col("kind").isin("http-route", "cli-command", "entrypoint"), 0).otherwise(1).alias("cls"), "title")
-    # Only as many rows per class as the budget holds are ranked.
-    r = h.withColumn("rn", F.row_number().over(Window.partitionBy("cls").orderBy("title", "id")))
+    # A class never holds more than the whole budget: every partition sends that many rows of each at most.
+    r = top(h, ["cls"], ["title", "id"], HINT_LIMIT, "rn")
     prim = h.agg(F.count_if(F.col("cls") == 0).alias("prim"))
     room = F.least(F.lit(min(24, max(8, HINT_LIMIT // 6))), F.greatest(F.lit(0), HINT_LIMIT - F.least("prim", F.lit(HINT_LIMIT))))
     return r.join(prim).where(((F.col("cls") == 0) & (F.col("rn") <= HINT_LIMIT)) | ((F.col("cls") == 1) & (F.col("rn") <= room))).select("id", "cls", F.col("rn").alias("position"))
@@ -617,3 +619,33 @@ def _(x):
 @query("ev20_bundle_modules", sql("SELECT feature_id, CASE WHEN path LIKE '%/%' THEN array_to_string(list_slice(string_split(path, '/'), 1, least(len(string_split(path, '/')) - 1, 2)), '/') ELSE 'repository-root' END AS module_path, count(*) AS sources, min(line_start) AS first_line FROM ev WHERE feature_id IS NOT NULL AND path IS NOT NULL GROUP BY ALL"))
 def _(x):
     return x.evidence.where("feature_id is not null and path is not null").groupBy("feature_id", fp.bundle_module("path").alias("module_path")).agg(N().alias("sources"), F.min("line_start").alias("first_line"))
+
+
+@query("ev09_tutorial_steps", sql("SELECT f.id AS feature_id, e.id AS evidence_id, row_number() OVER (PARTITION BY f.id ORDER BY e.path, e.line_start, e.id) AS step FROM feat f JOIN ev e ON e.feature_id = f.id QUALIFY step <= 8"))
+def _(x):
+    e = x.evidence.where("feature_id is not null").join(x.features.select(F.col("id").alias("feature_id")), "feature_id", "left_semi")
+    return top(e, ["feature_id"], ["path", "line_start", "id"], 8, "step").select("feature_id", F.col("id").alias("evidence_id"), "step")
+
+
+@query("ev13_comparison", sql(OPTION_SQL + """ SELECT slug, project, score::BIGINT AS score, max(score) OVER (PARTITION BY slug)::BIGINT AS best, max(score) OVER (PARTITION BY slug) - score <= 15 AS co_winner,
+  CASE WHEN s > 0 THEN 'heuristic-with-exact-symbols' ELSE 'heuristic' END AS confidence FROM o"""))
+def _(x):
+    o = options(x)
+    best = o.groupBy("slug").agg(F.max("score").cast("bigint").alias("best"))
+    return o.join(best, "slug").select("slug", "project", F.col("score").cast("bigint").alias("score"), "best", (F.col("best") - F.col("score") <= 15).alias("co_winner"), F.when(F.col("s") > 0, "heuristic-with-exact-symbols").otherwise("heuristic").alias("confidence"))
+
+
+#: Limits a packet is tried with, largest first, and the bytes it may have.
+LADDER, PACKET_BYTES = [64, 32, 16, 8, 4], 3000
+
+
+@query("rank14_packet_ladder", sql(f"""r AS (SELECT project, row_number() OVER w AS n, sum(strlen(coalesce(snippet, ''))) OVER w AS bytes FROM ev WINDOW w AS (PARTITION BY project ORDER BY id ROWS UNBOUNDED PRECEDING)),
+t AS (SELECT r.project, l.lim, max(bytes) FILTER (n <= l.lim) AS bytes FROM r, (VALUES {', '.join(f'({v})' for v in LADDER)}) l(lim) GROUP BY ALL)
+SELECT project, coalesce(max(lim) FILTER (bytes <= {PACKET_BYTES}), {LADDER[-1]})::INT AS chosen FROM t GROUP BY project"""))
+def _(x):
+    lead = top(x.evidence.select("project", "id", F.octet_length(F.coalesce("snippet", F.lit(""))).alias("b")), ["project"], ["id"], LADDER[0], "n")
+    tried = lead.groupBy("project").agg(*[F.sum(F.when(F.col("n") <= v, F.col("b"))).alias(f"b{v}") for v in LADDER])
+    choice = F.lit(LADDER[-1])
+    for v in reversed(LADDER):
+        choice = F.when(F.col(f"b{v}") <= PACKET_BYTES, v).otherwise(choice)
+    return tried.select("project", choice.cast("int").alias("chosen"))

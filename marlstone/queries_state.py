@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .catalog import Index, sql
 from .functions.text import canonical_digest
+from .operators.digest import group_digest, group_digest_sql
 from .operators.validate import RELATIONSHIP_KINDS, SYMBOL_KINDS, rejection, validate_index
 from .queries_functions import _list, _sid
 from .queries_index import LAST, N, change_sets
@@ -64,9 +64,12 @@ def _(x):
     return validate_index(x).groupBy("severity", "code").agg(N().alias("n"))
 
 
-@query("val03_claim_digest", sql("""SELECT project, sha256(string_agg(d, '' ORDER BY d)) AS digest FROM (SELECT project, sha256('{"kind":"' || kind || '","line":' || line::VARCHAR || ',"name":"' || name || '"}') AS d FROM sym) GROUP BY project"""))
+CLAIM_ROW = """sha256('{"kind":"' || kind || '","line":' || line::VARCHAR || ',"name":"' || name || '"}')"""
+
+
+@query("val03_claim_digest", sql(group_digest_sql("sym", ["project"], CLAIM_ROW)))
 def _(x):
-    return x.symbols.select("project", canonical_digest("kind", "line", "name").alias("d")).groupBy("project").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("d")), ""), 256).alias("digest"))
+    return group_digest(x.symbols, ["project"], canonical_digest("kind", "line", "name"))
 
 
 @query("val04_reuse_rejection", sql(ISSUES_SQL + """, own AS (SELECT id, project FROM fil UNION SELECT id, project FROM sym UNION SELECT id, project FROM rel),
