@@ -1,12 +1,13 @@
 """Encoding a corpus with a public byte-level BPE through a global shuffle of distinct words, and decoding it.
 
-Method: documents are laid into blocks of bounded text; each block is cut into pre-tokens, and every distinct word of a
-block becomes one row with its positions in the block. The rows meet by word: every distinct word of the corpus is
-encoded once, and its ids are joined back to the blocks that hold it. The blocks then gather their words and put the ids
-down by position. Positions are kept as packed gaps, so a token costs about a byte in each of the two shuffles, and a word
-that stands in every document is one row per block, never one per occurrence. Decoding joins the token-byte table.
-
-A null text has null ids, an empty one an empty list; a repeated document is encoded again. Text longer than a block is a
+Method: documents are laid into blocks of bounded text; each block is cut into pre-tokens, its distinct words are numbered,
+and it becomes one row per distinct word, with the word's number, and one row with the numbers in the order of their
+positions. The words meet by word: every distinct word of the corpus is encoded once, and its ids are joined back to the
+blocks that hold it. The blocks then gather their words' ids and put them down by position. Positions are shuffled once,
+packed, at one or two bytes a token; a word that stands in every document is one row per block, never one per
+occurrence. Decoding joins the token-byte table.
+
+A null text has an empty list of ids as an empty one has, and decodes to an empty text; a repeated document is encoded again. Text longer than a block is a
 block of its own.
 """
 
@@ -90,37 +91,28 @@ def token_counts(docs: DataFrame, text: str, out: str = "n_tokens", tokenizer: s
     return docs.select(*keep, text).mapInArrow(run, schema)
 
 
-def _pack(positions: np.ndarray) -> bytes:
-    """Gaps as bytes; a gap of 255 or more is 255 and four bytes."""
-    gaps = np.diff(positions, prepend=-1)
-    if len(gaps) == 1 or gaps.max() >= 255:
-        out = bytearray()
-        for g in gaps.tolist():
-            if g < 255:
-                out.append(g)
-            else:
-                out += b"\xff" + g.to_bytes(4, "little")
-        return bytes(out)
-    return gaps.astype(np.uint8).tobytes()
+class _Numbers(dict):
+    """word -> its number in order of first occurrence."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+def _pack(numbers: np.ndarray) -> bytes:
+    """Numbers in two or four bytes each, the width in front, compressed."""
+    wide = len(numbers) and int(numbers.max()) > 0xFFFF
+    raw = numbers.astype("<u4" if wide else "<u2").tobytes()
+    return (b"4" if wide else b"2") + len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def _unpack(blob: bytes) -> np.ndarray:
-    raw = np.frombuffer(blob, np.uint8)
-    if not (raw == 255).any():
-        return np.cumsum(raw.astype(np.int64)) - 1
-    gaps, i = [], 0
-    while i < len(blob):
-        if blob[i] < 255:
-            gaps.append(blob[i])
-            i += 1
-        else:
-            gaps.append(int.from_bytes(blob[i + 1 : i + 5], "little"))
-            i += 5
-    return np.cumsum(np.array(gaps, np.int64)) - 1
+    raw = pa.decompress(blob[9:], int.from_bytes(blob[1:9], "little"), codec="zstd", asbytes=True)
+    return np.frombuffer(raw, "<u4" if blob[:1] == b"4" else "<u2")
 
 
 def _cut_blocks(docs: DataFrame, block_chars: int) -> DataFrame:
-    """(block, doc_ids, ends, word, positions): word rows, and one row per block (word null) with its documents."""
+    """(block, doc_ids, ends, number, word, positions): word rows, and one row per block (word null) with its documents."""
 
     def flush(block: str, ids: list, texts: list) -> pa.RecordBatch:
         cut = _pattern()
@@ -129,16 +121,14 @@ def _cut_blocks(docs: DataFrame, block_chars: int) -> DataFrame:
         for t in texts:
             words += cut.findall(t)
             ends.append(len(words))
-        code: dict[str, int] = {}
-        codes = np.fromiter((code.setdefault(w, len(code)) for w in words), np.int64, len(words))
-        order = np.argsort(codes, kind="stable")
-        bounds = np.searchsorted(codes[order], np.arange(len(code) + 1))
-        blobs = [_pack(order[bounds[k] : bounds[k + 1]]) for k in range(len(code))]
-        n = len(code) + 1
-        none = [None] * (n - 1)
+        code = _Numbers()
+        codes = np.fromiter(map(code.__getitem__, words), np.int64, len(words))
+        n = len(code)
+        none = [None] * n
         return pa.RecordBatch.from_arrays(
-            [pa.array([block] * n), pa.array([*none, ids], pa.list_(pa.int64())), pa.array([*none, ends], pa.list_(pa.int64())), pa.array([*code, None], pa.string()), pa.array([*blobs, None], pa.binary())],
-            ["block", "doc_ids", "ends", "word", "positions"],
+            [pa.array([block] * (n + 1)), pa.array([*none, ids], pa.list_(pa.int64())), pa.array([*none, ends], pa.list_(pa.int64())), pa.array([*range(n), None], pa.int32()),
+             pa.array([*code, None], pa.string()), pa.array([*none, _pack(codes)], pa.binary())],
+            ["block", "doc_ids", "ends", "number", "word", "positions"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,12 +146,12 @@ def _cut_blocks(docs: DataFrame, block_chars: int) -> DataFrame:
         if texts:
             yield flush(f"{part}-{k}", ids, texts)
 
-    return docs.mapInArrow(run, "block string, doc_ids array<bigint>, ends array<bigint>, word string, positions binary")
+    return docs.mapInArrow(run, "block string, doc_ids array<bigint>, ends array<bigint>, number int, word string, positions binary")
 
 
 def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR,
                   block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(id, ids): the token ids of every document without special tokens; null for a null text."""
+    """(id, ids): the token ids of every document without special tokens; an empty list for a null or empty text."""
     ws = Workspace(docs.sparkSession, "encode")
     d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     # Cut once and written: both the dictionary and the join below read it.
@@ -175,30 +165,30 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([words, pa.array(ids, pa.list_(pa.int32()))], ["w", "ids"])
 
     dictionary = rows.where("word is not null").select(F.col("word").alias("w")).distinct().mapInArrow(encode, "w string, ids array<int>")
-    placed = rows.where("word is not null").join(dictionary, F.col("word") == F.col("w")).select("block", F.lit(None).cast("array<bigint>").alias("doc_ids"), F.lit(None).cast("array<bigint>").alias("ends"), "positions", "ids")
-    heads = rows.where("word is null").select("block", "doc_ids", "ends", F.lit(None).cast("binary").alias("positions"), F.lit(None).cast("array<int>").alias("ids"))
+    null = lambda kind: F.lit(None).cast(kind)
+    placed = rows.where("word is not null").select("block", "number", "word").join(dictionary, F.col("word") == F.col("w")).select(
+        "block", null("array<bigint>").alias("doc_ids"), null("array<bigint>").alias("ends"), "number", null("binary").alias("positions"), "ids")
+    heads = rows.where("word is null").select("block", "doc_ids", "ends", "number", "positions", null("array<int>").alias("ids"))
 
     def assemble(t: pa.Table) -> pa.Table:
         doc_col = t.column("doc_ids").combine_chunks()
         head = int(np.flatnonzero(doc_col.is_valid().to_numpy(zero_copy_only=False))[0])
         docs_, ends = doc_col[head].as_py(), np.array(t.column("ends").combine_chunks()[head].as_py(), np.int64)
+        at = _unpack(t.column("positions").combine_chunks()[head].as_py())
         ids = t.column("ids").combine_chunks()
-        offsets, values = ids.offsets.to_numpy(), ids.values.to_numpy()
-        n = int(ends[-1]) if len(ends) else 0
-        start, length = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        for k, blob in enumerate(t.column("positions").to_pylist()):
-            if blob is not None:
-                at = _unpack(blob)
-                start[at] = offsets[k]
-                length[at] = offsets[k + 1] - offsets[k]
+        offsets, values = ids.offsets.to_numpy().astype(np.int64), ids.values.to_numpy()
+        rows_ = np.delete(np.arange(len(t)), head)
+        numbers = t.column("number").combine_chunks().take(pa.array(rows_)).to_numpy(zero_copy_only=False).astype(np.int64)
+        first, size = np.zeros(len(rows_), np.int64), np.zeros(len(rows_), np.int64)
+        first[numbers], size[numbers] = offsets[rows_], offsets[rows_ + 1] - offsets[rows_]
+        length = size[at]
         total = np.concatenate([[0], np.cumsum(length)])
-        take = np.repeat(start - total[:-1], length) + np.arange(total[-1])
-        out = values[take] if n else np.zeros(0, np.int32)
+        out = values[np.repeat(first[at] - total[:-1], length) + np.arange(total[-1])] if total[-1] else np.zeros(0, np.int32)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], total[ends]]).astype(np.int32)), pa.array(out, pa.int32()))
         return pa.table({"doc_id": pa.array(docs_, pa.int64()), "ids": lists})
 
     whole = placed.unionByName(heads).groupBy("block").applyInArrow(assemble, "doc_id bigint, ids array<int>")
-    return whole.unionByName(d.where("text is null").select("doc_id", F.lit(None).cast("array<int>").alias("ids")))
+    return whole.unionByName(d.where("text is null").select("doc_id", F.array().cast("array<int>").alias("ids")))
 
 
 def byte_table(spark, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> DataFrame:
