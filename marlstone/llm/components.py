@@ -12,7 +12,7 @@ gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..plans.session import Workspace
@@ -32,11 +32,6 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select(F.col("mu").alias("hi"), F.col("m").alias("lo")))
 
 
-def _mark(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(20,0)"))).first()
-    return r[0], r[1]
-
-
 def connected_groups(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """(node, group): group is the least id linked with node directly or through others."""
     ws = Workspace(pairs.sparkSession, "groups")
@@ -47,10 +42,13 @@ def connected_groups(pairs: DataFrame, a: str, b: str) -> DataFrame:
     mark = None
     old = None
     while True:
-        step = ws.write(_small_star(_large_star(edges).distinct()).distinct(), "edges")
+        # Count and checksum are taken while the edges are written.
+        seen = Observation()
+        step = _small_star(_large_star(edges).distinct()).distinct()
+        step = ws.write(step.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("h")), "edges")
         ws.drop(old)
         edges = old = step
-        new = _mark(edges)
+        new = (seen.get["n"], seen.get["h"])
         if new == mark:
             break
         mark = new
