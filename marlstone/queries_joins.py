@@ -279,19 +279,32 @@ def _(x):
     return f.select("id", "ref").unionByName(e.select("id", "ref")).distinct()
 
 
+def closure_up(ws: Workspace, sym: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(id): the seeds that are symbols and all their ancestors, by pointer doubling: rounds are the logarithm of the longest chain.
+
+    After a round ``seen`` holds the ancestors less than 2^k away; a round that adds none has reached the end, on cycles too.
+    """
+    known = sym.select(F.col("id").alias("up"))
+    jump = ws.write(sym.select("id", F.col("parent_id").alias("up")).join(known, "up", "left_semi").select("id", "up"), "jump")
+    seen = ws.write(sym.join(seeds, "id", "left_semi").select("id").distinct(), "up")
+    n = seen.count()
+    while True:
+        more = ws.write(seen.unionByName(jump.join(seen, "id", "left_semi").select(F.col("up").alias("id"))).distinct(), "up")
+        ws.drop(seen)
+        seen, old, n = more, n, more.count()
+        if n == old:
+            return seen
+        far = ws.write(jump.join(jump.select(F.col("id").alias("via"), F.col("up").alias("top")), F.col("up") == F.col("via")).select("id", F.col("top").alias("up")), "jump")
+        ws.drop(jump)
+        jump = far
+
+
 @query("join23_export_closure", sql("""up(id) AS (SELECT entry_symbol_id FROM feat WHERE entry_symbol_id IN (SELECT id FROM sym) UNION SELECT s.parent_id FROM up JOIN sym s ON s.id = up.id WHERE s.parent_id IN (SELECT id FROM sym))
 SELECT id, 'symbol' AS kind FROM up UNION SELECT f.id, 'file' FROM up JOIN sym s ON s.id = up.id JOIN fil f ON f.id = s.file_id UNION SELECT id, 'evidence' FROM ev WHERE feature_id IN (SELECT id FROM feat)"""))
-def _(x):
+def export_closure(x):
     ws = Workspace(x.spark, "closure")
     sym = ws.write(x.symbols.select("id", "parent_id", "file_id"), "symbols")
-    front = ws.write(sym.join(x.features.select(F.col("entry_symbol_id").alias("id")), "id", "left_semi").select("id"), "up")
-    seen = front
-    for _ in range(64):
-        ups = sym.join(front, "id", "left_semi").select(F.col("parent_id").alias("id")).where("id is not null").distinct()
-        front = ws.write(ups.join(sym.select("id"), "id", "left_semi").join(seen, "id", "left_anti"), "up")
-        if front.limit(1).count() == 0:
-            break
-        seen = seen.unionByName(front)
+    seen = closure_up(ws, sym, x.features.select(F.col("entry_symbol_id").alias("id")))
     files = sym.join(seen, "id", "left_semi").select(F.col("file_id").alias("id")).join(x.files.select("id"), "id", "left_semi").distinct()
     ev = x.evidence.join(x.features.select(F.col("id").alias("feature_id")), "feature_id", "left_semi").select("id")
     tag = lambda d, k: d.select("id", F.lit(k).alias("kind"))
