@@ -129,3 +129,25 @@ def test_labels(spark):
     assert got == want
     assert label_files(f.limit(0), libs).count() == 0
     assert {r.file_id: r.label for r in label_files(f.where("file_id in ('copy', 'h1')"), libs.limit(0)).collect()} == {"copy": None, "h1": None}
+
+
+LINES = ["x = y.map((v) => v.a + 1);", "if (a > b) { throw new Error('m'); }", "for (const q of w) { z(q); }", "return c ? d : e;", "const { k } = m; n(k);", "while (s) { t -= 2; }", "export default f(a, b);", "let u = [1, 2, 3];", "switch (p) { case 1: break; }", "delete o.p.q;", "new A(b)(c);", "i = j && k || l;"]
+
+
+def test_a_bucket_with_several_dissimilar_marked_classes(spark):
+    # The least class of every bucket is unlike the unmarked file; another marked one of the bucket is like it.
+    r = random.Random(10)
+    line = lambda: " ".join(r.choice(LINES) for _ in range(3))
+
+    def edited(lines, n):
+        out = list(lines)
+        for i in r.sample(range(len(out)), n):
+            out[i] = line()
+        return out
+
+    base = [line() for _ in range(14)]
+    marked = [base, *(edited(base, 3) for _ in range(5))]
+    texts = ["// Code generated by gen v1. DO NOT EDIT.\n" + "\n".join(x) for x in marked] + ["\n".join(edited(marked[-1], 1))]
+    f = spark.createDataFrame([(f"f{i}", "p", f"src/f{i}.js", x) for i, x in enumerate(texts)], "file_id string, project string, path string, text string")
+    libs = spark.createDataFrame([], "library string, version string, path string, text string")
+    assert {x.file_id: x.label for x in label_files(f, libs).collect()} == {f"f{i}": "generated" for i in range(7)}
