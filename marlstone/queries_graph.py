@@ -316,11 +316,31 @@ SLICE1 = SEEDS + ", " + reach(FWD + " UNION ALL " + REV, 1)
 STATE = f"len(list_filter({TOKENS('''coalesce(n.qualified_name, '') || ' ' || coalesce(n.path, '') || ' ' || coalesce(n.symbol_kind, '')''')}, lambda x: x IN {_lit_list(STATE_TOKENS)}))"
 
 
+def state_nodes(x: Index, seen: DataFrame, n: int) -> DataFrame:
+    """(seed, id, score, position): the n visited nodes of a seed that speak most of state."""
+    score = x.nodes.select("id", F.size(F.filter(split_tokens(F.concat_ws(" ", "qualified_name", "path", "symbol_kind")), lambda t: t.isin(STATE_TOKENS))).alias("score")).where("score > 0")
+    return top(seen.select("seed", "id").join(score, "id"), ["seed"], [F.desc("score"), "id"], n)
+
+
+def prompt_projection(x: Index, seen: DataFrame) -> DataFrame:
+    n = seen.select("seed", "id", "distance").join(x.nodes.select("id", preferred_label("path").alias("label")), "id").withColumn("nodes", F.count(F.lit(1)).over(Window.partitionBy("seed")))
+    ordered = top(n, ["seed"], ["distance", "id"], 12).groupBy("seed").agg(F.max("nodes").alias("nodes"), F.sort_array(F.collect_list(F.struct("position", "id", "label"))).alias("l"))
+    return ordered.select("seed", "nodes", F.array_join("l.id", ",").alias("first_nodes"), F.array_join("l.label", ",").alias("labels"))
+
+
+def candidate_steps(x: Index, seen: DataFrame) -> DataFrame:
+    seen = Workspace(x.spark, "steps").write(seen, "seen")
+    first = top(seen, ["seed"], ["distance", "id"], 3)
+    state = state_nodes(x, seen, 2).join(first.select("seed", "id"), ["seed", "id"], "left_anti")
+    return first.select("seed", F.when(F.col("position") == 1, "trigger").otherwise("core").alias("role"), "id").unionByName(state.select("seed", F.lit("state").alias("role"), "id"))
+
+
+# The four one-hop queries agree with their SQL; the slice queries after them rank the whole bounded slice, which SQL cannot express.
+
+
 @query("rank02_state_nodes", sql(SLICE1 + f"SELECT seed, position, id, score FROM (SELECT s.seed, n.id, {STATE} AS score, row_number() OVER (PARTITION BY seed ORDER BY {STATE} DESC, n.id) AS position FROM seen s JOIN node n ON n.id = s.id WHERE {STATE} > 0) WHERE position <= 4"))
 def _(x):
-    seen = g.traverse(_graph(x)[0], _entry_seeds(x), direction="both", depth=1, limit=None)
-    n = x.nodes.select("id", F.size(F.filter(split_tokens(F.concat_ws(" ", "qualified_name", "path", "symbol_kind")), lambda t: t.isin(STATE_TOKENS))).alias("score")).where("score > 0")
-    return top(seen.select("seed", "id").join(n, "id"), ["seed"], [F.desc("score"), "id"], 4).select("seed", "position", "id", "score")
+    return state_nodes(x, g.traverse(_graph(x)[0], _entry_seeds(x), direction="both", depth=1, limit=None), 4).select("seed", "position", "id", "score")
 
 
 @query("rank03_key_edges", sql(SLICE1 + f"SELECT seed, position, id FROM (SELECT a.seed, e.id, row_number() OVER (PARTITION BY a.seed ORDER BY e.id) AS position FROM edge e JOIN seen a ON a.id = e.source_id JOIN seen b ON b.id = e.target_id AND b.seed = a.seed WHERE e.kind IN {_lit_list(g.IMPACT_KINDS)}) WHERE position <= 4"))
@@ -333,10 +353,7 @@ def _(x):
 @query("graph16_prompt_projection", sql(SLICE1 + f""", ranked AS (SELECT s.seed, n.id, {LABEL.replace('path', 'n.path')} AS label, row_number() OVER (PARTITION BY s.seed ORDER BY s.distance, n.id) AS position, count(*) OVER (PARTITION BY s.seed) AS nodes FROM seen s JOIN node n ON n.id = s.id)
 SELECT seed, any_value(nodes) AS nodes, string_agg(id, ',' ORDER BY position) AS first_nodes, string_agg(label, ',' ORDER BY position) AS labels FROM ranked WHERE position <= 12 GROUP BY seed"""))
 def _(x):
-    seen = g.traverse(_graph(x)[0], _entry_seeds(x), direction="both", depth=1, limit=None)
-    n = seen.select("seed", "id", "distance").join(x.nodes.select("id", preferred_label("path").alias("label")), "id").withColumn("nodes", F.count(F.lit(1)).over(Window.partitionBy("seed")))
-    ordered = top(n, ["seed"], ["distance", "id"], 12).groupBy("seed").agg(F.max("nodes").alias("nodes"), F.sort_array(F.collect_list(F.struct("position", "id", "label"))).alias("l"))
-    return ordered.select("seed", "nodes", F.array_join("l.id", ",").alias("first_nodes"), F.array_join("l.label", ",").alias("labels"))
+    return prompt_projection(x, g.traverse(_graph(x)[0], _entry_seeds(x), direction="both", depth=1, limit=None))
 
 
 @query("graph17_candidate_steps", sql(SLICE1 + f""", ordered AS (SELECT seed, id, row_number() OVER (PARTITION BY seed ORDER BY distance, id) AS pos FROM seen),
@@ -344,12 +361,27 @@ st AS (SELECT seed, id, row_number() OVER (PARTITION BY seed ORDER BY score DESC
 SELECT seed, CASE WHEN pos = 1 THEN 'trigger' ELSE 'core' END AS role, id FROM ordered WHERE pos <= 3
 UNION ALL SELECT st.seed, 'state', st.id FROM st WHERE r <= 2 AND NOT EXISTS (SELECT 1 FROM ordered o WHERE o.seed = st.seed AND o.id = st.id AND o.pos <= 3)"""))
 def _(x):
-    ws = Workspace(x.spark, "steps")
-    seen = ws.write(g.traverse(_graph(x)[0], _entry_seeds(x), direction="both", depth=1, limit=None), "seen")
-    first = top(seen, ["seed"], ["distance", "id"], 3)
-    n = x.nodes.select("id", F.size(F.filter(split_tokens(F.concat_ws(" ", "qualified_name", "path", "symbol_kind")), lambda t: t.isin(STATE_TOKENS))).alias("score")).where("score > 0")
-    state = top(seen.select("seed", "id").join(n, "id"), ["seed"], [F.desc("score"), "id"], 2).join(first.select("seed", "id"), ["seed", "id"], "left_anti")
-    return first.select("seed", F.when(F.col("position") == 1, "trigger").otherwise("core").alias("role"), "id").unionByName(state.select("seed", F.lit("state").alias("role"), "id"))
+    return candidate_steps(x, g.traverse(_graph(x)[0], _entry_seeds(x), direction="both", depth=1, limit=None))
+
+@query("rank02_slice_state_nodes")
+def slice_state_nodes(x):
+    return state_nodes(x, slices(x, _graph(x)[0]), 4).select("seed", "position", "id", "score")
+
+
+@query("rank03_slice_key_edges")
+def slice_key_edges(x):
+    edges, _ = _graph(x)
+    return top(g.induced(edges, slices(x, edges), g.IMPACT_KINDS), ["seed"], ["id"], 4).select("seed", "position", "id")
+
+
+@query("graph16_slice_projection")
+def slice_projection(x):
+    return prompt_projection(x, slices(x, _graph(x)[0]))
+
+
+@query("graph17_slice_steps")
+def slice_steps(x):
+    return candidate_steps(x, slices(x, _graph(x)[0]))
 
 
 @query("graph18_scope_feedback", sql("""item AS (SELECT f.id, s.path FROM feat f LEFT JOIN sym s ON s.id = f.entry_symbol_id),
