@@ -39,8 +39,8 @@ class Bad(ValueError):
     pass
 
 
-def _lex(text: str) -> tuple[list[str], list[str], list[bool], list[int]]:
-    """kinds, words, newline-before, end positions' starts."""
+def _lex(text: str, limit: int | None = None) -> tuple[list[str], list[str], list[bool], bool]:
+    """kinds, words, newline-before, and whether the text was read to its end; with a limit about so many tokens are read."""
     kinds: list[str] = []
     words: list[str] = []
     fresh: list[bool] = []
@@ -53,6 +53,8 @@ def _lex(text: str) -> tuple[list[str], list[str], list[bool], list[int]]:
     heads: list[bool] = []  # of each open parenthesis: does it follow if, while, for or with?
     head = False
     while pos < n:
+        if limit is not None and len(kinds) > limit:
+            return kinds, words, fresh, False
         m = match(text, pos)
         if m is None:
             w = _word(text, pos)
@@ -145,7 +147,7 @@ def _lex(text: str) -> tuple[list[str], list[str], list[bool], list[int]]:
         pos = end
     if stack:
         raise Bad("bracket")
-    return kinds, words, fresh
+    return kinds, words, fresh, True
 
 
 def _template(text: str, pos: int, stack: list[str], kinds: list[str], words: list[str], fresh: list[bool]) -> int:
@@ -177,12 +179,15 @@ _KNOWN: dict[str, bool] = {}
 
 
 class Parser:
-    def __init__(self, text: str, ts: bool):
-        self.k, self.w, self.nl = _lex(text)
+    """Over the first tokens of a text only, the parser runs out of them (IndexError, KeyError) unless it refuses before."""
+
+    def __init__(self, tokens: tuple[list[str], list[str], list[bool], bool], ts: bool):
+        self.k, self.w, self.nl = ([*x] for x in tokens[:3])
         self.ts = ts
-        self.k.append("eof")
-        self.w.append("")
-        self.nl.append(True)
+        if tokens[3]:
+            self.k.append("eof")
+            self.w.append("")
+            self.nl.append(True)
         self.p = 0
         self.fn = self.asyn = self.gen = self.loop = self.brk = False
         self.ambient = False
@@ -1424,8 +1429,7 @@ class Parser:
             self.no_cond_type = save
 
     def function_type_ahead(self) -> bool:
-        c = self.close.get(self.p)
-        return c is not None and self.k[c + 1] == "=>"
+        return self.k[self.p] == "(" and self.k[self.close[self.p] + 1] == "=>"
 
     def union_type(self) -> None:
         if self.k[self.p] in ("|", "&"):
@@ -1608,6 +1612,36 @@ _STATEMENTS = {
 }
 
 
-def check_ecma(text: str, ts: bool) -> bool:
-    Parser(text, ts).module()
+#: Tokens after which most texts of other languages are refused.
+HEAD = 160
+
+
+def _takes(tokens: tuple, ts: bool) -> bool | None:
+    """None where the tokens end before the grammar can tell."""
+    try:
+        Parser(tokens, ts).module()
+    except Bad:
+        return False
+    except (IndexError, KeyError):
+        if tokens[3]:
+            raise
+        return None
     return True
+
+
+def check_ecma(text: str) -> tuple[bool, bool]:
+    """(is it an ECMAScript module, is it TypeScript): tokens are made once, and what is the first is the second too."""
+    try:
+        tokens = _lex(text, HEAD)
+        js = _takes(tokens, False)
+        if js:
+            return True, True
+        ts = None
+        if js is False and (ts := _takes(tokens, True)) is not None:
+            return False, ts
+        tokens = _lex(text)
+        if js is None and _takes(tokens, False):
+            return True, True
+        return False, bool(_takes(tokens, True))
+    except Bad:
+        return False, False

@@ -31,7 +31,8 @@ class Bad(ValueError):
 _KNOWN: set[str] = set()
 
 
-def _lex(text: str) -> tuple[list[str], list[str], dict[int, int], list[tuple[int, int]]]:
+def _lex(text: str, limit: int | None = None) -> tuple[list[str], list[str], dict[int, int], list[tuple[int, int]], bool]:
+    """Tokens, matching brackets, lines, and whether the text was read to its end; with a limit about so many tokens are read."""
     kinds: list[str] = []
     words: list[str] = []
     close: dict[int, int] = {}
@@ -44,6 +45,8 @@ def _lex(text: str) -> tuple[list[str], list[str], dict[int, int], list[tuple[in
         raise Bad("character")
     match = _TOKEN.match
     while pos < n:
+        if limit is not None and len(kinds) > limit:
+            return kinds, words, close, lines, False
         m = match(text, pos)
         if m is None:
             raise Bad("character")
@@ -90,14 +93,17 @@ def _lex(text: str) -> tuple[list[str], list[str], dict[int, int], list[tuple[in
         words.append("\n")
     if len(kinds) > begin:
         lines.append((begin, len(kinds)))
-    return kinds, words, close, lines
+    return kinds, words, close, lines, True
 
 
 class Parser:
-    def __init__(self, text: str):
-        self.k, self.w, self.close, lines = _lex(text)
-        self.k.append("eof")
-        self.w.append("")
+    """Over the first tokens of a text only, the parser runs out of them (IndexError, KeyError) unless it refuses before."""
+
+    def __init__(self, tokens: tuple[list[str], list[str], dict[int, int], list[tuple[int, int]], bool]):
+        self.k, self.w, self.close, lines, whole = tokens
+        if whole:
+            self.k.append("eof")
+            self.w.append("")
         self.p = 0
         self.level = 0  # below 0: a brace begins a block, not a composite literal
         self.fn = 0
@@ -687,6 +693,17 @@ class Parser:
             self.expression()
 
 
+#: Tokens after which texts of other languages are refused.
+HEAD = 40
+
+
 def check_go(text: str) -> bool:
-    Parser(text).file()
+    head = _lex(text, HEAD)
+    try:
+        Parser(head).file()
+        return True
+    except (IndexError, KeyError):
+        if head[4]:
+            raise
+    Parser(_lex(text)).file()
     return True

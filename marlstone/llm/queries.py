@@ -12,7 +12,7 @@ from .credentials import corpus_words, find_credentials, redact_credentials
 from .handwritten import label_files
 from .mixing import mix_sources, mixture_shares
 from .sentences import sentence_units
-from .syntax import grammar_matrix, parse_files, parse_rates
+from .syntax import failed, parse_files, parse_rates
 from .tokens import decode_corpus, encode_corpus, token_counts
 
 #: Tokenizer whose tokens size the mixture.
@@ -37,12 +37,12 @@ def p1_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_files(_texts(spark, sf_dir)).where("status in ('wrong_ending', 'corrupt')").select("file_id").distinct()
+    return failed(parse_files(_texts(spark, sf_dir))).select("file_id").distinct()
 
 
 def p4_grammars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every file with text against every grammar: those that take it, in the order of the ranking."""
-    return grammar_matrix(_texts(spark, sf_dir))
+    return parse_files(_texts(spark, sf_dir)).where("status <> 'empty'").select("file_id", "language", "ranked", "accepted", "status")
 
 
 def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,91 +1,96 @@
 """Source files that do not parse: which, why, and at what rate per project and language.
 
-Method: each file is ranked against all supported languages by its tokens (keywords and line forms that tell them
-apart), then parsed by the grammars in that order, the language of its path first. The grammar of the path refusing it
-makes it a case; a foreign grammar taking it tells a wrong ending, none taking it corruption. Empty texts parse nowhere
+Method: each text is ranked against all supported languages by its tokens (the words and signs its lines begin with, and
+operators that tell them apart), then every one of the six grammars is tried on it. The set of grammars that take a text
+gives the verdict: the language of the path among them -> valid; another one, the first in the order of the ranking -> a
+wrong ending; none -> corrupt; the own grammar's parser overflowing -> too deep, a case as well. Empty texts parse nowhere
 and are no cases; a file whose path names no supported language is ranked and parsed too, but never a case.
 
-``parse_files`` stops at the first grammar that settles a file (its own, where it takes the text); ``grammar_matrix`` tries
-all of them on every file. One Arrow pass, no shuffle for the verdicts; the rates are two aggregations with map-side combine.
+One Arrow pass, no shuffle for the verdicts; the rates are two aggregations with map-side combine. Repeated rows give
+their verdict again, null columns are passed on, and no text is too long.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .grammars import ENDINGS, accepts
+from .grammars import ENDINGS, verdicts
 
-#: Line forms that tell the languages apart (one point per line that has one).
-_FORMS = {
-    "python": re.compile(r"^\s*(?:def \w+\(.*:|class \w+.*:|from [\w.]+ import |import [\w.]+(?: as \w+)?\s*$|elif |except\b.*:|if .*:\s*$|@\w+)", re.M),
-    "javascript": re.compile(r"^\s*(?:(?:export )?(?:const|let|var) \w+\s*=|import .* from ['\"]|(?:export )?(?:async )?function\b|module\.exports|\}\);?\s*$)", re.M),
-    "typescript": re.compile(r"^\s*(?:(?:export )?(?:interface|type|enum|declare|abstract) \w+|import type |(?:private|public|readonly) \w+)|\w\??: (?:string|number|boolean|unknown|void|any)\b", re.M),
-    "go": re.compile(r"^(?:package \w+|func [\w(]|import \(|type \w+ (?:struct|interface)|var \w+ |\t+\w+(?:, \w+)* := )", re.M),
-    "json": re.compile(r"^\s*(?:\"[^\"]*\"\s*:|[\[{]\s*$)", re.M),
-    "toml": re.compile(r"^\s*(?:\[\[?[\w.\"-]+\]?\]\s*$|[\w.-]+\s*=\s*[\"\[\d]|[\w-]+ = (?:true|false)$)", re.M),
+#: What lines begin with, as far as it tells the languages apart.
+_FIRST = {
+    "python": ["def", "elif", "except", "from", "with", "pass", "raise", "class", "import", "@", "self", "None", "print"],
+    "javascript": ["const", "let", "var", "function", "export", "module", "}", "return", "await", "class", "import", "this"],
+    "typescript": ["interface", "type", "enum", "declare", "abstract", "private", "public", "readonly", "export", "const", "import", "}"],
+    "go": ["package", "func", "defer", "go", "}", "type", "var", "import", "return", "switch", "case"],
+    "json": ['"', "{", "}", "]"],
+    "toml": ["["],
 }
-
-
-def rank_languages(text: str, own: str | None) -> list[str]:
-    """Languages in the order of trying: the path's own, then by tokens, ties in the order of ENDINGS."""
-    score = {k: len(f.findall(text)) for k, f in _FORMS.items()}
-    order = sorted(score, key=lambda k: -score[k])
-    return [own, *(k for k in order if k != own)] if own else order
-
-
-def verdict(path: str | None, text: str | None) -> tuple[str | None, str | None, str]:
-    """(language of the path, language that takes the text, status)."""
+_POINTS: dict[str, list[str]] = {}
+for _k, _words in _FIRST.items():
+    for _w in _words:
+        _POINTS.setdefault(_w, []).append(_k)
+#: Operators and forms, counted anywhere.
+_SIGNS = {"python": ["):\n", " not ", " is None"], "javascript": ["=>", "===", ");\n"], "typescript": ["=>", ": string", ": number", ": boolean", "<string"], "go": [":=", "err != nil", "*"], "json": ['": '], "toml": ["]\n", " = "]}
+_BEGIN = re.compile(r"^[ \t]*([A-Za-z_]\w*|[^\s\w])", re.M)
+
+
+def rank_languages(text: str) -> list[str]:
+    """All languages in the order of their tokens' points, ties in the order of ENDINGS."""
+    score = dict.fromkeys(ENDINGS.values(), 0)
+    for w, n in Counter(_BEGIN.findall(text)).items():
+        for k in _POINTS.get(w, ()):
+            score[k] += n
+    for k, signs in _SIGNS.items():
+        score[k] += sum(map(text.count, signs))
+    return sorted(score, key=lambda k: -score[k])
+
+
+def verdict(path: str | None, text: str | None) -> tuple[str | None, str | None, list[str], str | None, str]:
+    """(language of the path, first of the ranking, grammars that take the text in its order, the one it is read as, status)."""
     own = next((v for k, v in ENDINGS.items() if path and path.endswith(k)), None)
     if not text or not text.strip():
-        return own, None, "empty"
-    if own and accepts(own, text):
-        return own, own, "valid"
-    taken = next((k for k in rank_languages(text, own) if k != own and accepts(k, text)), None)
-    if not own:
-        return None, taken, "unchecked"
-    return own, taken, "wrong_ending" if taken else "corrupt"
+        return own, None, [], None, "empty"
+    order = rank_languages(text)
+    said = verdicts(text)
+    taken = [k for k in order if said[k]]
+    first = taken[0] if taken else None
+    if own is None:
+        return None, order[0], taken, first, "unchecked"
+    if said[own]:
+        return own, order[0], taken, own, "valid"
+    return own, order[0], taken, first, "wrong_ending" if taken else "corrupt" if said[own] is False else "too_deep"
 
 
 def parse_files(files: DataFrame) -> DataFrame:
-    """files (file_id, project, path, text) -> (file_id, project, path, language, parsed_as, status)."""
+    """files (file_id, project, path, text) -> (file_id, project, path, language, ranked, accepted, parsed_as, status)."""
+    names = ["file_id", "project", "path", "language", "ranked", "accepted", "parsed_as", "status"]
+    kinds = [pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [verdict(p, t) for p, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            cols = [pa.array([o[i] for o in out], pa.string()) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), *cols], ["file_id", "project", "path", "language", "parsed_as", "status"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), *[pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)]], names)
 
-    s = "file_id string, project string, path string, language string, parsed_as string, status string"
-    return files.select("file_id", "project", "path", "text").mapInArrow(run, s)
+    return files.select("file_id", "project", "path", "text").mapInArrow(run, "file_id string, project string, path string, language string, ranked string, accepted array<string>, parsed_as string, status string")
 
 
-def grammar_matrix(files: DataFrame) -> DataFrame:
-    """files (file_id, path, text) -> (file_id, language, ranked, accepted): all grammars tried on every file with text."""
+def failed(parsed: DataFrame) -> DataFrame:
+    """The files whose own grammar does not take them."""
+    return parsed.where(F.col("status").isin(FAILED))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, own, ranked, taken = [], [], [], []
-            for i, p, t in zip(*(b.column(k).to_pylist() for k in range(3))):
-                if t and t.strip():
-                    language = next((v for k, v in ENDINGS.items() if p and p.endswith(k)), None)
-                    order = rank_languages(t, None)
-                    ids.append(i)
-                    own.append(language)
-                    ranked.append(order[0])
-                    taken.append([k for k in order if accepts(k, t)])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(own, pa.string()), pa.array(ranked, pa.string()), pa.array(taken, pa.list_(pa.string()))], ["file_id", "language", "ranked", "accepted"])
 
-    return files.select("file_id", "path", "text").where("text is not null").mapInArrow(run, "file_id string, language string, ranked string, accepted array<string>")
+FAILED = ["wrong_ending", "corrupt", "too_deep"]
 
 
 def parse_rates(parsed: DataFrame) -> DataFrame:
     """(project, language, files, failed, wrong_ending, rate): files with text of the supported endings."""
-    bad = F.col("status").isin("wrong_ending", "corrupt")
+    bad = F.col("status").isin(FAILED)
     return (
         parsed.where("language is not null and status <> 'empty'")
         .groupBy("project", "language")

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from marlstone.llm.grammars import accepts
-from marlstone.llm.syntax import grammar_matrix, parse_files, parse_rates, rank_languages, verdict
+from marlstone.llm.syntax import failed, parse_files, parse_rates, rank_languages, verdict
 
 GOOD = {
     "javascript": [
@@ -78,10 +78,28 @@ def test_memo_depends_on_context():
 
 
 def test_deep_nesting_and_long_texts():
-    assert accepts("javascript", "x = " + "[" * 3000 + "]" * 3000)
+    """Depth decides nothing: what is refused flat is refused deep, and the other way round."""
+    for n in (300, 3_000, 30_000):
+        deep = "[" * n + "]" * n
+        for language, text in {"javascript": f"x = {deep}", "typescript": f"x = {deep}", "json": deep, "toml": f"a = {deep}"}.items():
+            assert accepts(language, text) is True, (language, n)
+            assert accepts(language, text[:-1]) is False and accepts(language, text + "]") is False, (language, n)
+    assert accepts("go", "package a\nvar x = " + "(" * 3000 + "1" + ")" * 3000 + "\n") is True and accepts("go", "package a\nvar x = " + "(" * 3000 + ")" * 3000 + "\n") is False
+    assert accepts("json", "[" * 200_000) is False and accepts("javascript", "x=" + "!" * 5_000 + "@@@") is False and accepts("toml", "a=" + "[" * 5_000) is False
+    assert accepts("json", '{"a":[1,' * 50_000 + "2" + "]}" * 50_000) is True and accepts("json", '{"a":[1,' * 50_000 + "]}" * 50_000) is False
+    assert verdict("a.json", "[" * 200_000)[4] == "corrupt" and verdict("a.js", "x=" + "[" * 5_000)[4] == "corrupt"
+    assert accepts("python", "x = " + "(" * 300 + ")" * 300) is False and accepts("python", "x = " + "-" * 100_000 + "1") is None
+    assert verdict("a.py", "x = " + "-" * 100_000 + "1")[4] != "valid" and accepts("python", "x = 1" + " + 1" * 50_000) is True
     assert accepts("go", "package a\n" + "var x = 1\n" * 30000)
 
 
+def test_first_tokens_decide_as_the_whole():
+    """Texts longer than the tokens read first, valid and broken at the far end."""
+    for language, line in {"javascript": "f(a, [b, c], {d: e});\n", "typescript": "let x: Map<string, number[]> = f(a) as any;\n", "go": "var x = f(a, b)\n"}.items():
+        text = ("package a\n" if language == "go" else "") + line * 200
+        assert accepts(language, text) is True and accepts(language, text + "x = = 1\n") is False and accepts(language, text + "f((\n") is False
+
+
 def test_verdicts(spark):
     rows = [("1", "p", "a.py", "x = 1"), ("2", "p", "b.py", "package a\n\nfunc f() {}\n"), ("3", "p", "c.js", "let a = ;;;("), ("4", "p", "d.ts", None), ("5", "p", "e.go", " \n"), ("6", "q", "f.txt", "x"), ("7", None, None, "x"), ("2", "p", "b.py", "package a\n\nfunc f() {}\n")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "file_id string, project string, path string, text string, status string")
@@ -91,7 +109,8 @@ def test_verdicts(spark):
     rates = {(r.project, r.language): (r.files, r.failed, r.wrong_ending) for r in parse_rates(parse_files(df)).collect()}
     assert rates == {("p", "python"): (2, 1, 1), ("p", "javascript"): (1, 1, 0)}
     assert parse_files(df.limit(0)).count() == 0
-    matrix = {r.file_id: (r.language, r.accepted) for r in grammar_matrix(df).collect()}
+    matrix = {r.file_id: (r.language, r.accepted) for r in parse_files(df).where("status <> 'empty'").collect()}
     assert matrix["2"] == ("python", ["go"]) and matrix["3"] == ("javascript", []) and set(matrix) == {"1", "2", "3", "6", "7"}
-    assert rank_languages("package a\nfunc f() {\n}\n", None)[0] == "go"
-    assert verdict("a.toml", "a = 1")[2] == "valid" and tomllib.loads("a = 1")
+    assert {r.file_id for r in failed(parse_files(df)).collect()} == {"2", "3"}
+    assert rank_languages("package a\nfunc f() {\n}\n")[0] == "go"
+    assert verdict("a.toml", "a = 1")[4] == "valid" and tomllib.loads("a = 1")
