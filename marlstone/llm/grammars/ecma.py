@@ -1613,7 +1613,7 @@ _STATEMENTS = {
 
 
 #: Tokens after which most texts of other languages are refused.
-HEAD = 160
+HEAD = 24
 
 
 def _takes(tokens: tuple, ts: bool) -> bool | None:

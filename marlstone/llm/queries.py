@@ -106,8 +106,8 @@ QUERIES = {"p1_found": p1_found, "p1_labels": p1_labels, "p4_found": p4_found, "
 SQL = {
     "p7_found": r"""
 WITH RECURSIVE e AS (
-  SELECT DISTINCT regexp_replace(source_id, '^\s+|\s+$', '', 'g') AS a, regexp_replace(target_id, '^\s+|\s+$', '', 'g') AS b FROM relationships
-  WHERE regexp_replace(target_id, '^\s+|\s+$', '', 'g') <> '' AND regexp_replace(source_id, '^\s+|\s+$', '', 'g') <> ''),
+  SELECT DISTINCT coalesce(nullif(regexp_replace(source_id, '^\s+|\s+$', '', 'g'), ''), regexp_replace(target_id, '^\s+|\s+$', '', 'g')) AS a, regexp_replace(target_id, '^\s+|\s+$', '', 'g') AS b FROM relationships
+  WHERE regexp_replace(target_id, '^\s+|\s+$', '', 'g') <> ''),
 two AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 cc(node, grp) USING KEY (node) AS (
   SELECT a, a FROM two

@@ -151,3 +151,70 @@ def test_a_bucket_with_several_dissimilar_marked_classes(spark):
     f = spark.createDataFrame([(f"f{i}", "p", f"src/f{i}.js", x) for i, x in enumerate(texts)], "file_id string, project string, path string, text string")
     libs = spark.createDataFrame([], "library string, version string, path string, text string")
     assert {x.file_id: x.label for x in label_files(f, libs).collect()} == {f"f{i}": "generated" for i in range(7)}
+
+
+# -- families told by where they lie
+
+
+FORMS = ["x{0} = y{1} + {2}\n", "for k in range({2}):\n    go(k, x{1})\n", "if x{0} > {2}:\n    raise E(x{1})\n", "def f{0}(a, *b):\n    return a[{2}:]\n", "with o(x{0}) as h:\n    h.w({2})\n", "assert not x{1}.y{0}, {2}\n",
+         "x{0}.z[{2}] = [q for q in x{1} if q]\n", "while x{0} and x{1}:\n    x{0} -= {2}\n", "try:\n    x{0}()\nexcept V{1}:\n    pass\n", "del x{0}[{2}], x{1}\n", "lambda x{0}: x{0} ** {2}\n"]
+
+
+def _shape(seed):
+    rng = random.Random(seed)
+    return [rng.choice(FORMS) for _ in range(40)]
+
+
+def _fill(shape, rng):
+    return "".join(f.format(rng.randrange(99), rng.randrange(99), rng.randrange(99)) for f in shape)
+
+
+def _planted(n, project, seed):
+    """Files made from one template without any notice: names and numbers differ, the shape does not."""
+    rng = random.Random(f"{project} {seed}")
+    return [(f"{project}-{seed}-{i}", project, f"src/m_{i}.py", _fill(_shape(seed), rng)) for i in range(n)]
+
+
+def _hand(n, seed):
+    """Files of different shapes."""
+    rng = random.Random(seed)
+    return [(f"hand-{i}", f"p{i % 3}", f"src/h{i}.py", _fill(_shape(1000 + i), rng)) for i in range(n)]
+
+
+FILES = "file_id string, project string, path string, text string"
+LIBS = "library string, version string, path string, text string"
+
+
+def test_families_without_notices_are_found(spark):
+    families = [_planted(6, f"p{k % 3}", k) for k in range(10)]
+    hand = _hand(30, 1)
+    library = "".join(f"export function util{j}(a, b) {{\n  return a.part{j} * {j} + b[{j}];\n}}\n" for j in range(30))
+    copies = [("copy-1", "p1", "src/own.js", library.replace("util7(", "util7x(")), ("copy-2", "p2", "lib/x.js", "// patched\n" + library)]
+    shared = "".join(f"const v{j} = make{j}('s{j}', [{j}, w{j}]);\nuse{j}(v{j});\n" for j in range(30))
+    across = [("across-1", "p1", "a.js", shared), ("across-2", "p2", "deep/b.js", shared + "// end\n")]
+    late = ("late", "p0", "late.py", "# " + "licence text\n# " * 400 + "\n# Code generated by x. DO NOT EDIT.\n" + hand[0][3])
+    odd = [("null", "p0", "n.py", None), ("blank", "p0", "b.py", " \n"), ("comment", None, None, "# only a comment\n"), ("twice", "p0", "t.py", hand[1][3]), ("twice", "p0", "t.py", hand[1][3])]
+    rows = [r for f in families for r in f] + hand + copies + across + [late] + odd
+    files = spark.createDataFrame([(*r, "clash") for r in rows], FILES + ", label string")
+    got = {r.file_id: (r.label, r.evidence) for r in label_files(files, spark.createDataFrame([("lib", "1", "u.js", library)], LIBS)).collect()}
+    planted = [r[0] for f in families for r in f]
+    assert sum(got[i] == ("generated", "family") for i in planted) >= 0.9 * len(planted)
+    assert not [r[0] for r in hand if got[r[0]][0]]
+    assert got["copy-1"] == got["copy-2"] == got["across-1"] == got["across-2"] == ("vendored", "family")
+    assert got["late"] == ("generated", "file") and got["comment"][0] is None and "null" not in got and "blank" not in got
+
+
+def test_a_template_over_repositories_is_no_family_of_one(spark):
+    rows = _planted(6, "p0", 3) + _planted(6, "p1", 3)
+    rows = [(f"{i}-{r[0]}", *r[1:]) for i, r in enumerate(rows)]
+    got = label_files(spark.createDataFrame(rows, FILES), spark.createDataFrame([], LIBS)).collect()
+    assert len(got) == 12 and not [r for r in got if r.label]
+
+
+def test_groups_with_names_that_share_a_number(spark):
+    from pyspark.sql import functions as F
+
+    pairs = [(f"n{i}", f"n{i + 1}") for i in range(0, 60, 2)] + [("n1", "n2"), ("n5", "n9")]
+    df = spark.createDataFrame(pairs, "s string, t string")
+    got = {(r.node, r.group) for r in connected_groups(df, "s", "t", number=lambda c: F.pmod(F.xxhash64(c), F.lit(7))).collect()}
+    assert got == {(r.node, r.group) for r in connected_groups(df, "s", "t").collect()} and len(got) == 60
