@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import clean_key
 from ..plans.session import table
 from .components import connected_groups
-from .credentials import corpus_words, find_credentials, redact_credentials
+from .credentials import find_credentials, redact_credentials
 from .handwritten import label_files
 from .mixing import mix_sources, mixture_shares
 from .sentences import sentence_units
@@ -55,13 +55,11 @@ def _secret_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = _secret_texts(spark, sf_dir)
-    return find_credentials(texts, corpus_words(texts)).distinct()
+    return find_credentials(_secret_texts(spark, sf_dir)).distinct()
 
 
 def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = _secret_texts(spark, sf_dir)
-    return redact_credentials(texts, corpus_words(texts))
+    return redact_credentials(_secret_texts(spark, sf_dir))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
