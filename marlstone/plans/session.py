@@ -79,10 +79,12 @@ class Workspace:
         self.n = 0
         atexit.register(_remove, self.root)
 
-    def write(self, df: DataFrame, label: str = "t") -> DataFrame:
+    def write(self, df: DataFrame, label: str = "t", by: str | None = None) -> DataFrame:
+        """The frame, written and read back; ``by`` names a column of few values to lay it out by."""
         self.n += 1
         path = f"{self.root}/{label}{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
+        out = df.write.option("compression", "zstd")
+        (out.partitionBy(by) if by else out).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._marlstone_path = path
         return out

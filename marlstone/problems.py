@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions.keys import clean_key, clean_path
 from .operators.hierarchy import descendants, resolve_hierarchy
-from .operators.orphans import OrphanTracker, spans, within
+from .operators.orphans import OrphanTracker, span_number, spans
 from .operators.snapshots import snapshot_changes
 from .plans.session import table
 
@@ -74,11 +74,14 @@ def parent_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def track(spark: SparkSession, sf_dir: str, n_spans: int = ORPHAN_SPANS) -> OrphanTracker:
+    """The tables delivered to the state in spans of time; each step reads its own rows."""
     tracker = OrphanTracker(spark)
-    refs = tracker.ws.write(reference_rows(spark, sf_dir), "refs")
-    parents = parent_rows(spark, sf_dir)
-    for span in spans(refs.select("at"), at="at", n=n_spans):
-        tracker.step(within(parents, "recorded_at", span), within(refs, "at", span))
+    refs = reference_rows(spark, sf_dir)
+    cuts = spans(*[table(spark, sf_dir, t).select("recorded_at") for t in ("relationships", "evidence_items", "capabilities")], at="recorded_at", n=n_spans)
+    refs = tracker.ws.write(refs.withColumn("span", span_number("at", cuts)), "refs", by="span")
+    parents = tracker.ws.write(parent_rows(spark, sf_dir).where("recorded_at is not null").withColumn("span", span_number("recorded_at", cuts)), "parents", by="span")
+    for k, span in enumerate(cuts):
+        tracker.step(parents.where(F.col("span") == k).drop("span"), refs.where(F.col("span") == k).drop("span"), span)
     return tracker
 
 
@@ -93,9 +96,7 @@ def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     month = F.date_format("at", "yyyy-MM").alias("period")
     n = F.count(F.lit(1))
     orphans = t.orphans().groupBy("ref_table", "ref_field", month).agg(n.alias("orphans"))
-    refs = t.refs[0]
-    for r in t.refs[1:]:
-        refs = refs.unionByName(r)
+    refs = t.references()
     return refs.groupBy("ref_table", "ref_field", month).agg(n.alias("refs")).join(orphans, ["ref_table", "ref_field", "period"], "left").select(
         "ref_table", "ref_field", "period", "refs", F.coalesce("orphans", F.lit(0)).cast("bigint").alias("orphans"))
 
