@@ -6,13 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Unicode white space, for trimming keys.
-WS = r"[\s\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+WS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def clean_key(c: Column | str) -> Column:
     """The key without surrounding white space; an empty key is null."""
-    c = F.col(c) if isinstance(c, str) else c
-    t = F.regexp_replace(c, f"^{WS}|{WS}$", "")
+    t = F.btrim(F.col(c) if isinstance(c, str) else c, F.lit(WS))
     return F.when(t != "", t)
 
 

@@ -25,7 +25,7 @@ SPLITTER_EVERY = 8
 CYCLE = "cycle"
 
 
-def latest_parents(rows: DataFrame, node: str, parent: str, at: str) -> DataFrame:
+def latest_parents(ws: Workspace, rows: DataFrame, node: str, parent: str, at: str) -> DataFrame:
     """(id, parent): one row per id, parent null where it names no id of the table."""
     held = (
         rows.select(clean_key(node).alias("id"), clean_key(parent).alias("parent"), F.col(at).alias("at"))
@@ -33,35 +33,39 @@ def latest_parents(rows: DataFrame, node: str, parent: str, at: str) -> DataFram
         .groupBy("id")
         .agg(F.max(F.struct("at", "parent"))["parent"].alias("parent"))
     )
+    held = ws.write(held, "held")
     known = held.select(F.col("id").alias("known"))
     return held.join(known, held.parent == known.known, "left").select("id", F.col("known").alias("parent"))
 
 
 def _walk(ws: Workspace, links: DataFrame, with_path: bool) -> tuple[DataFrame, DataFrame]:
-    """links (id, ptr, dist, stop[, seg]): jump until ptr is a stop. Returns (done, stuck)."""
+    """links (id, ptr, dist, stop[, seg]): jump until ptr is a stop. Returns (done, stuck).
+
+    A finished row is kept in the way of the walkers only while one of them stands before it: what a walker reaches later
+    is pointed at by another walker now, so the rest can never be met again.
+    """
     cols = ["id", "ptr", "dist"] + (["seg"] if with_path else [])
-    links = ws.write(links, "links")
-    done = [links.where("stop").select(*cols)]
-    active = links.where("not stop").select(*cols)
+    links = ws.write(links.withColumnRenamed("stop", "halt").select(*cols, "halt"), "links", by="halt")
+    done = [links.where("halt").select(*cols)]
+    ahead, active = done[0], links.where("not halt").select(*cols)
     n = active.count()
     while n:
         # A pointer target that has stopped hands on its stop; an active one hands on where it stands itself.
-        hop = done[0].withColumn("halt", F.lit(True))
-        for d in done[1:]:
-            hop = hop.unionByName(d.withColumn("halt", F.lit(True)))
-        hop = hop.unionByName(active.withColumn("halt", F.lit(False))).select(
-            F.col("id").alias("h_id"), F.col("ptr").alias("h_ptr"), F.col("dist").alias("h_dist"), "halt", *([F.col("seg").alias("h_seg")] if with_path else [])
+        ahead = ws.write(ahead.join(active.select("ptr").distinct().withColumnRenamed("ptr", "id"), "id", "left_semi"), "ahead")
+        hop = ahead.withColumn("stopped", F.lit(True)).unionByName(active.withColumn("stopped", F.lit(False))).select(
+            F.col("id").alias("h_id"), F.col("ptr").alias("h_ptr"), F.col("dist").alias("h_dist"), "stopped", *([F.col("seg").alias("h_seg")] if with_path else [])
         )
         step = active.join(hop, active.ptr == hop.h_id).select(
             "id",
             F.col("h_ptr").alias("ptr"),
             (F.col("dist") + F.col("h_dist")).alias("dist"),
             *([F.concat("h_seg", "seg").alias("seg")] if with_path else []),
-            "halt",
+            F.col("stopped").alias("halt"),
         )
-        step = ws.write(step, "walk")
-        done.append(step.where("halt").select(*cols))
-        active = step.where("not halt").select(*cols)
+        step = ws.write(step, "walk", by="halt")
+        fresh, active = step.where("halt").select(*cols), step.where("not halt").select(*cols)
+        done.append(fresh)
+        ahead = ahead.unionByName(fresh)
         left = active.count()
         if left == n:
             break
@@ -80,7 +84,7 @@ def resolve_hierarchy(rows: DataFrame, *, node: str, parent: str, at: str, with_
     """
     spark = rows.sparkSession
     ws = Workspace(spark, "hierarchy")
-    base = ws.write(latest_parents(rows, node, parent, at), "base")
+    base = ws.write(latest_parents(ws, rows, node, parent, at), "base")
     is_root = F.col("parent").isNull()
     cut = lambda c: F.pmod(F.xxhash64(c), F.lit(splitter_every)) == 0
     roots = base.where(is_root).select(F.col("id").alias("root_id"))

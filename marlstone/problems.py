@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.keys import clean_key, clean_path
@@ -32,30 +32,27 @@ def p2_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reference_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every reference of the tables: (ref_table, ref_field, ref_id, key, shown, at); key carries the name of its parent index."""
-    rel = table(spark, sf_dir, "relationships").select(clean_key("id").alias("ref_id"), clean_key("target_id").alias("tid"), clean_key("target_name").alias("tname"),
-                                                       clean_key("project").alias("project"), "recorded_at")
-    ev = table(spark, sf_dir, "evidence_items").select(clean_key("id").alias("ref_id"), clean_key("feature_id").alias("k"), "recorded_at")
-    cap = table(spark, sf_dir, "capabilities").select(clean_key("id").alias("ref_id"), F.explode("evidence_ids").alias("e"), "recorded_at")
     ext = table(spark, sf_dir, "known_externals").select(clean_key("name").alias("ext")).where("ext is not null").distinct()
-    ref = lambda df, t, f, shown, *key: df.where(shown.isNotNull() & F.col("ref_id").isNotNull()).select(
-        F.lit(t).alias("ref_table"), F.lit(f).alias("ref_field"), "ref_id", F.concat_ws("\u001f", *key).alias("key"), shown.alias("shown"), "recorded_at")
-    name = rel.where("tid is null and tname is not null").join(ext, F.col("tname") == F.col("ext"), "left_anti")
+    rel = table(spark, sf_dir, "relationships").select(clean_key("id").alias("ref_id"), clean_key("target_id").alias("tid"), clean_key("target_name").alias("tname"), clean_key("project").alias("project"), "recorded_at")
+    ev = table(spark, sf_dir, "evidence_items").select(clean_key("id").alias("ref_id"), clean_key("feature_id").alias("k"), "recorded_at")
+    # Without an element there is no reference, but the row still tells a time.
+    cap = table(spark, sf_dir, "capabilities").select(clean_key("id").alias("ref_id"), F.explode_outer("evidence_ids").alias("e"), "recorded_at").withColumn("k", clean_key("e"))
+    key = lambda kind, *c: F.concat_ws("\u001f", F.lit(kind), *c)
+    by_id = F.col("tid").isNotNull()
+    name = F.when(~by_id, F.col("tname"))
     parts = [
-        ref(rel, "relationships", "target_id", F.col("tid"), F.lit("id"), F.col("tid")),
-        ref(name, "relationships", "target_name", F.col("tname"), F.lit("name"), F.col("project"), F.col("tname")),
-        ref(ev, "evidence_items", "feature_id", F.col("k"), F.lit("feature"), F.col("k")),
-        ref(cap.withColumn("k", clean_key("e")), "capabilities", "evidence_ids", F.col("k"), F.lit("evidence"), F.col("k")),
+        rel.select("ref_id", F.lit("relationships").alias("ref_table"), F.when(by_id, "target_id").otherwise("target_name").alias("ref_field"), F.coalesce("tid", name).alias("shown"),
+                   F.when(by_id, key("id", "tid")).otherwise(key("name", "project", name)).alias("key"), "recorded_at"),
+        ev.select("ref_id", F.lit("evidence_items").alias("ref_table"), F.lit("feature_id").alias("ref_field"), F.col("k").alias("shown"), key("feature", "k").alias("key"), "recorded_at"),
+        cap.select("ref_id", F.lit("capabilities").alias("ref_table"), F.lit("evidence_ids").alias("ref_field"), F.col("k").alias("shown"), key("evidence", "k").alias("key"), "recorded_at"),
     ]
-    # The time of a reference is the earliest row of its ref_id, whatever that row refers to.
-    first = lambda df, t: df.groupBy("ref_id").agg(F.min("recorded_at").alias("at")).withColumn("ref_table", F.lit(t))
-    out = []
-    for df, t, sources in ((rel, "relationships", parts[:2]), (ev, "evidence_items", parts[2:3]), (table(spark, sf_dir, "capabilities").select(clean_key("id").alias("ref_id"), "recorded_at"), "capabilities", parts[3:])):
-        refs = sources[0]
-        for more in sources[1:]:
-            refs = refs.unionByName(more)
-        refs = refs.groupBy("ref_table", "ref_field", "ref_id", "key", "shown").agg(F.count(F.lit(1)).alias("rows_of_ref"))
-        out.append(refs.drop("rows_of_ref").join(first(df, t).drop("ref_table"), "ref_id"))
-    return out[0].unionByName(out[1]).unionByName(out[2]).where("at is not null")
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).where("ref_id is not null")
+    # Repeated rows meet before the second shuffle; the time of a reference is the earliest row of its ref_id, whatever that row refers to.
+    rows = rows.groupBy("ref_table", "ref_field", "ref_id", "key", "shown").agg(F.min("recorded_at").alias("t"))
+    at = F.min("t").over(Window.partitionBy("ref_table", "ref_id"))
+    rows = rows.withColumn("at", at).where("shown is not null and at is not null").drop("t")
+    known = ext.select(F.lit("target_name").alias("ref_field"), F.col("ext").alias("shown"))
+    return rows.join(known, ["ref_field", "shown"], "left_anti").select("ref_table", "ref_field", "ref_id", "key", "shown", "at")
 
 
 def parent_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
