@@ -3,12 +3,13 @@
 The budget of the mixture is the largest total at which every source present can hold its share within its repeats,
 unless one is given. A source first takes all its documents as often as the budget holds them; what remains is fitted
 with single further uses: documents are counted by exact token length, a seeded share of every length is taken, and a
-bounded-knapsack program over the lengths fills the last part, so that the share is met to the token where the lengths
-allow it. Which documents of a length are taken is decided by their seeded hash; lengths are ranked in salted parts, so
-a length that holds a third of all rows is no single task.
+bounded-knapsack program over the lengths, of whatever size they are, fills the last part, so that the share is met to the
+token where the lengths allow it. Which documents of a length are taken is decided by their seeded hash: lengths are cut
+into parts of about ``PART`` documents by that hash, whole parts are taken or left by their counts, and only the one part
+in which a quota ends is ranked.
 
-Bounds: the program sees the counts of lengths up to ``MAX_DP_LENGTH`` only (that many numbers per source, whatever the
-corpus); longer documents are taken by seeded hash alone. Its budget is at most ``MAX_DP_BUDGET`` tokens.
+Bounds: one source's program runs in one task over its distinct lengths (not its documents). To the driver come as many
+rows as there are targets. Nothing is broadcast by hint.
 
 Cases: shares are normalised over the sources present in both tables; null, unknown or repeated sources, texts without
 tokens and targets without documents take no part; source names are compared in lower case, without white space around,
@@ -17,12 +18,14 @@ tokens and targets without documents take no part; source names are compared in
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_DP_LENGTH = 16_384
-MAX_DP_BUDGET = 1_048_576
-SALTS = 64
+from ..plans.session import Workspace
+
+#: Documents of one length that are ranked at once.
+PART = 20_000
 
 
 def clean_source(c: str) -> Column:
@@ -42,15 +45,14 @@ def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
     take = {n: c * budget // total for n, c in counts.items()}
     rest = budget - sum(n * k for n, k in take.items())
     # Leave enough for the program to be exact, fill the surplus from the long end.
-    room = max(4 * max(counts, default=0), 4096)
+    room = max(4 * max((n for n in counts if n <= rest), default=0), 4096)
     for n in sorted(counts, reverse=True):
-        if rest <= room or rest <= MAX_DP_BUDGET // 4:
+        if rest <= room:
             break
         k = min(counts[n] - take[n], (rest - room) // n)
         if k > 0:
             take[n] += k
             rest -= n * k
-    rest = min(rest, MAX_DP_BUDGET)
     mask = (1 << (rest + 1)) - 1
     seen = 1
     layers: list[tuple[int, int, int]] = []
@@ -75,59 +77,51 @@ def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
     return take
 
 
-def plan_mixture(sized: DataFrame, targets: DataFrame, total: int | None, seed: int) -> tuple[DataFrame, list[tuple]]:
-    """sized (doc_id, source, n_tokens), targets (source, target_share, max_repeats)."""
-    spark = sized.sparkSession
-    t = {r.source: r for r in targets.select(clean_source("source").alias("source"), "target_share", "max_repeats").where("source is not null and target_share > 0 and max_repeats > 0")
-         .groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).collect()}
-    hist = sized.where("n_tokens > 0").groupBy("source", F.when(F.col("n_tokens") <= MAX_DP_LENGTH, F.col("n_tokens")).alias("len")).agg(F.count(F.lit(1)).alias("docs"), F.sum("n_tokens").alias("tokens"))
-    per: dict[str, dict] = {}
-    for r in hist.where(F.col("source").isin(list(t))).collect():
-        s = per.setdefault(r.source, {"short": {}, "long": 0})
-        if r.len is None:
-            s["long"] = r.tokens
-        else:
-            s["short"][r.len] = r.docs
-    tokens = {s: p["long"] + sum(n * c for n, c in p["short"].items()) for s, p in per.items()}
-    whole = sum(t[s].target_share for s in per) or 1.0
-    share = {s: t[s].target_share / whole for s in per}
+def plan_mixture(ws: Workspace, sized: DataFrame, targets: DataFrame, total: int | None) -> DataFrame:
+    """sized (doc_id, source, n_tokens), targets (source, target_share, max_repeats) -> (source, n_tokens, docs, base, quota).
+
+    Every document of a length is used ``base`` times, ``quota`` of them once more.
+    """
+    t = targets.select(clean_source("source").alias("source"), "target_share", "max_repeats").where("source is not null and target_share > 0 and max_repeats > 0")
+    t = t.groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
+    lengths = ws.write(sized.where("n_tokens > 0").groupBy("source", "n_tokens").agg(F.count(F.lit(1)).alias("docs")).join(t.select("source"), "source", "left_semi"), "lengths")
+    held = lengths.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("docs")).alias("tokens")).join(t, "source").collect()
+    whole = sum(r.target_share for r in held)
     if total is None:
-        total = int(min((t[s].max_repeats * tokens[s] / share[s] for s in per), default=0))
-    rows, cut = [], []
-    for s, p in sorted(per.items()):
-        want = min(int(share[s] * total + 0.5), t[s].max_repeats * tokens[s])
-        base = want // tokens[s]
-        rest = want - base * tokens[s]
-        rows.append((s, int(base), float(rest / tokens[s]), int(rest)))
-    bases = spark.createDataFrame(rows, "source string, base int, frac double, rest bigint")
-    # Long documents: by seeded hash below the fraction; their exact sum comes off the budget of the short ones.
-    unit = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("u")
-    tagged = sized.where("n_tokens > 0").join(F.broadcast(bases), "source").select("source", "doc_id", "n_tokens", "base", "frac", unit)
-    longs = tagged.where((F.col("n_tokens") > MAX_DP_LENGTH) & (F.col("u") < F.col("frac")))
-    taken = {r.source: r.t for r in longs.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()} if any(p["long"] for p in per.values()) else {}
-    for s, base, _, rest in rows:
-        for n, k in fit(per[s]["short"], max(0, rest - taken.get(s, 0))).items():
-            if k:
-                cut.append((s, n, k))
-    return tagged, cut
+        total = int(min((r.max_repeats * r.tokens * whole / r.target_share for r in held), default=0))
+    wants = {r.source: divmod(min(int(r.target_share / whole * total + 0.5), r.max_repeats * r.tokens), r.tokens) for r in held}
+
+    def solve(group: pa.Table) -> pa.Table:
+        source = group.column("source")[0].as_py()
+        base, rest = wants[source]
+        counts = dict(zip(group.column("n_tokens").to_pylist(), group.column("docs").to_pylist()))
+        take = fit(counts, rest)
+        n = len(counts)
+        return pa.table({"source": [source] * n, "n_tokens": list(counts), "docs": list(counts.values()), "base": pa.array([base] * n, pa.int32()), "quota": [take[k] for k in counts]})
+
+    return ws.write(lengths.groupBy("source").applyInArrow(solve, "source string, n_tokens bigint, docs bigint, base int, quota bigint").where("base > 0 or quota > 0"), "plan")
 
 
 def mix_sources(sized: DataFrame, targets: DataFrame, *, total: int | None = None, seed: int = 17) -> DataFrame:
     """(source, doc_id, n_tokens, repeats) of the documents used."""
-    spark = sized.sparkSession
-    sized = sized.select("doc_id", clean_source("source").alias("source"), "n_tokens")
-    tagged, cut = plan_mixture(sized, targets, total, seed)
-    # At most MAX_DP_LENGTH rows per source.
-    quota = spark.createDataFrame(cut, "source string, n_tokens bigint, quota bigint")
-    short = tagged.where(F.col("n_tokens") <= MAX_DP_LENGTH).withColumn("salt", F.floor(F.col("u") * SALTS).cast("int"))
-    sizes = short.groupBy("source", "n_tokens", "salt").agg(F.count(F.lit(1)).alias("c"))
-    before = F.sum("c").over(Window.partitionBy("source", "n_tokens").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.join(F.broadcast(quota), ["source", "n_tokens"], "left").select("source", "n_tokens", "salt", F.coalesce(before, F.lit(0)).alias("offset"), F.coalesce("quota", F.lit(0)).alias("quota"))
-    rank = F.row_number().over(Window.partitionBy("source", "n_tokens", "salt").orderBy("u", "doc_id"))
-    picked = short.join(offsets, ["source", "n_tokens", "salt"]).withColumn("extra", F.when(F.col("offset") + rank <= F.col("quota"), 1).otherwise(0))
-    longs = tagged.where(F.col("n_tokens") > MAX_DP_LENGTH).withColumn("extra", F.when(F.col("u") < F.col("frac"), 1).otherwise(0))
-    out = picked.select("source", "doc_id", "n_tokens", "base", "extra").unionByName(longs.select("source", "doc_id", "n_tokens", "base", "extra"))
-    return out.withColumn("repeats", (F.col("base") + F.col("extra")).cast("int")).where("repeats > 0").select("source", "doc_id", "n_tokens", "repeats")
+    ws = Workspace(sized.sparkSession, "mix")
+    sized = sized.select("doc_id", clean_source("source").alias("source"), F.col("n_tokens").cast("bigint").alias("n_tokens"))
+    plan = plan_mixture(ws, sized, targets, total)
+    key = ["source", "n_tokens", "part"]
+    h = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30))
+    docs = sized.join(plan, ["source", "n_tokens"]).withColumn("h", h)
+    docs = docs.withColumn("part", F.expr(f"cast(h * (1 + docs div {PART}) div {1 << 30} as int)"))
+    # Parts before the quota's end are taken whole, those behind it left; positions count parts, not documents.
+    sizes = docs.groupBy(*key).agg(F.count(F.lit(1)).alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("source", "n_tokens").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumn("ahead", before)
+    placed = docs.join(sizes, key)
+    ends = (F.col("ahead") < F.col("quota")) & (F.col("ahead") + F.col("c") > F.col("quota"))
+    whole = placed.where(~ends).withColumn("extra", F.when(F.col("ahead") < F.col("quota"), 1).otherwise(0))
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy("h", "doc_id"))
+    split = placed.where(ends).withColumn("extra", F.when(F.col("ahead") + rank <= F.col("quota"), 1).otherwise(0))
+    used = whole.unionByName(split).withColumn("repeats", (F.col("base") + F.col("extra")).cast("int"))
+    return used.where("repeats > 0").select("source", "doc_id", "n_tokens", "repeats")
 
 
 def mixture_shares(mix: DataFrame, targets: DataFrame) -> DataFrame:
@@ -135,5 +129,5 @@ def mixture_shares(mix: DataFrame, targets: DataFrame) -> DataFrame:
     used = mix.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.count(F.lit(1)).alias("documents"))
     t = targets.select(clean_source("source").alias("source"), "target_share").where("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"))
     all_ = used.agg(F.sum("tokens").alias("all_tokens"))
-    return t.join(used, "source", "left").join(F.broadcast(all_)).select(
+    return t.join(used, "source", "left").crossJoin(all_).select(
         "source", "target_share", F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)).alias("actual_share"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("documents", F.lit(0)).alias("documents"))

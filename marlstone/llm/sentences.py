@@ -37,7 +37,8 @@ NUMBER = """No Nos Sec Secs Ch Chap Vol Art Eq Ref Refs App p pp S n nos Jan Feb
 MONTHS = "Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Jänner"
 #: What goes on after a closed quotation or an ellipsis in scripts without capitals (fixed values).
 GO_ON = re.compile(r"(?:然后|但是|而且|并且|于是|所以|不过|接着|随后|就|并|地|说|说道|写道|と|って|という|は|が|を|に|の|라고|하고|고|이라고|ثم|وقال|و(?=[؀-ۿ])|कहा|और|फिर|แล้ว)")
-LOWER_NAME = re.compile(r"(?:[a-z]+[A-Z]\w*|(?:numpy|pandas|npm|pip|git|curl|pytest|jq|grep)\b\S*|\S*[/_`(]\S*)")
+#: A word in lower case that names a thing of code: a capital inside, or a path, call or quoted code.
+LOWER_NAME = re.compile(r"(?:[a-z]+[A-Z]\w*|\S*[/_`(]\S*)")
 
 _TRIE: dict = {}
 for _kind, _words in (("never", NEVER), ("case", CASE), ("number", NUMBER)):
@@ -57,13 +58,21 @@ _NOTE = re.compile(r"\[\d+(?:\s*[,–-]\s*\d+)*\]")
 _WS = re.compile("[" + SPACE + "]+")
 #: A sentence set without a space behind the stop of the one before it: a capitalised word that ends in a space.
 _GLUED = re.compile(r"[^\W\d_a-zà-ÿа-я][^\W\d_A-ZА-Я]*(?=[\s,])")
-_NAME_BEFORE = re.compile(r"(?:^|[\s(])[A-Z]\w*$")
 _CJK = re.compile("[" + CJK + "]")
 
 
+def _indent(line: str) -> int:
+    return len(line) - len(line.lstrip(" \t"))
+
+
 def _blocks(text: str) -> Iterator[tuple[str, int, int]]:
-    """(kind, start, end) with kind unit or para, in order."""
+    """(kind, start, end) with kind unit or para, in order.
+
+    The open list levels are kept on a stack of indentations. A number and a full stop begin a list line after running text
+    only where a list is open at that indentation or around it; elsewhere it is a wrapped line.
+    """
     pos, n, para, fence, mark, before = 0, len(text), None, None, "", "blank"
+    levels: list[int] = []
     while pos < n:
         m = _LINE.match(text, pos)
         end = m.end()
@@ -83,12 +92,21 @@ def _blocks(text: str) -> Iterator[tuple[str, int, int]]:
             if para is not None:
                 yield "para", para, pos
             para, fence, mark = None, pos, f[1]
-        elif _HEADING.match(line) or ((x := _LIST.match(line)) and (before != "para" or not x[0].strip()[0].isdigit())):
+        elif (head := _HEADING.match(line)) or ((x := _LIST.match(line)) and (before != "para" or not x[0].strip()[0].isdigit() or levels and (_indent(x[0]) in levels or _indent(x[0]) > levels[-1]))):
             if para is not None:
                 yield "para", para, pos
             yield "unit", pos, end
             para, before = None, "unit"
+            if head:
+                levels.clear()
+            else:
+                while levels and levels[-1] >= _indent(x[0]):
+                    levels.pop()
+                levels.append(_indent(x[0]))
         else:
+            # Text that is not indented deeper than a level ends it.
+            while levels and (before == "blank" or para is not None) and levels[-1] >= _indent(line):
+                levels.pop()
             if para is None:
                 para = pos
             before = "para"
@@ -124,17 +142,27 @@ def _abbreviation(t: str, at: int, start: int) -> str | None:
 def _match_groups(t: str, events: list[tuple[int, int, str]]) -> dict[int, int]:
     """Event index of each opener -> that of its closer, for those that are closed inside the paragraph."""
     stack: list[tuple[int, str]] = []
+    # Depths of the open groups by what closes them: a closer finds its opener, or none, without a search.
+    depth: dict[str, list[int]] = {}
     pairs: dict[int, int] = {}
     n = len(t)
+
+    def push(k: int, want: str) -> None:
+        depth.setdefault(want, []).append(len(stack))
+        stack.append((k, want))
+
+    def close(s: str, k: int) -> None:
+        d = depth[s][-1]
+        pairs[stack[d][0]] = k
+        while len(stack) > d:
+            depth[stack.pop()[1]].pop()
+
     for k, (i, _, s) in enumerate(events):
         if s[0] == "`":
-            for d in range(len(stack) - 1, -1, -1):
-                if stack[d][1] == s:
-                    pairs[stack[d][0]] = k
-                    del stack[d:]
-                    break
+            if depth.get(s):
+                close(s, k)
             else:
-                stack.append((k, s))
+                push(k, s)
             continue
         if len(s) != 1 or (s not in PAIRS and s not in CLOSERS):
             continue
@@ -144,7 +172,7 @@ def _match_groups(t: str, events: list[tuple[int, int, str]]) -> dict[int, int]:
             opens = (not before.isalnum()) and not after.isspace() and (before.isspace() or before in "([{（「“‘«„:：" or _CJK.match(before) is not None)
             want = s
         elif s in "’‘“":
-            if any(c == s for _, c in stack):  # also closes „ and ‚
+            if depth.get(s):  # also closes „ and ‚
                 opens = False
             elif s == "’":
                 opens = False
@@ -154,16 +182,22 @@ def _match_groups(t: str, events: list[tuple[int, int, str]]) -> dict[int, int]:
         if s in "'’" and before.isalnum() and after.isalnum():
             continue
         if s in CLOSERS and not (opens and s not in "\"'"):
-            hit = next((d for d in range(len(stack) - 1, -1, -1) if stack[d][1] == s), None)
-            if hit is not None and not (s in "\"'" and opens and before.isspace()):
-                pairs[stack[hit][0]] = k
-                del stack[hit:]
+            if depth.get(s) and not (s in "\"'" and opens and before.isspace()):
+                close(s, k)
                 continue
         if opens:
-            stack.append((k, want))
+            push(k, want)
     return pairs
 
 
+def _name_before(t: str, at: int, start: int) -> bool:
+    """Does a capitalised word of Latin letters, set apart before, end at this place?"""
+    i = at
+    while i > start and (t[i - 1].isalnum() or t[i - 1] == "_"):
+        i -= 1
+    return i < at and "A" <= t[i] <= "Z" and (i == start or t[i - 1].isspace() or t[i - 1] == "(")
+
+
 def _starts_low(t: str, i: int) -> bool:
     return i < len(t) and t[i].islower() and not LOWER_NAME.match(t, i)
 
@@ -230,7 +264,7 @@ def _sentences(t: str) -> Iterator[tuple[int, int]]:
                             cut = e
                     elif e == j and _CJK.match(t[nxt]) is None and _GLUED.match(t, nxt):
                         cut = e
-                elif w or (e == j and i > begin and not t[i - 1].isspace() and _CJK.match(t[nxt]) is None and t[nxt].isupper() and _GLUED.match(t, nxt) and not _NAME_BEFORE.search(t[max(begin, i - 40) : i])) or (s[0] in "!?" and _CJK.match(t[nxt]) is not None and cjk):
+                elif w or (e == j and i > begin and not t[i - 1].isspace() and _CJK.match(t[nxt]) is None and t[nxt].isupper() and _GLUED.match(t, nxt) and not _name_before(t, i, begin)) or (s[0] in "!?" and _CJK.match(t[nxt]) is not None and cjk):
                     cut = e
                     if s == ".":
                         kind = _abbreviation(t, i, begin) if i > begin else None

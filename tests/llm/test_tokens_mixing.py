@@ -75,3 +75,28 @@ def test_mixture(spark):
     shares = {r.source: r for r in mx.mixture_shares(mx.mix_sources(sized, targets), targets).collect()}
     assert shares["gone"].tokens == 0 and shares["gone"].actual_share == 0
     assert mx.mix_sources(sized.limit(0), targets).count() == 0 and mx.mix_sources(sized, targets.limit(0)).count() == 0
+
+
+def test_documents_of_any_length_are_fitted(spark):
+    """Lengths beyond any fixed program size count like all others, and a long document never overshoots a share."""
+    rng = random.Random(9)
+    docs = [(i, "a", rng.choice([7, 11, 20_000, 50_003, 400_001])) for i in range(400)] + [(1000 + i, "b", rng.randrange(1, 90)) for i in range(3000)]
+    sized = spark.createDataFrame([(*d, "clash") for d in docs], "doc_id bigint, source string, n_tokens bigint, part string")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    rows = mx.mix_sources(sized, targets).collect()
+    tok = {s: sum(r.n_tokens * r.repeats for r in rows if r.source == s) for s in "ab"}
+    assert tok["b"] == sum(n for _, s, n in docs if s == "b")
+    sums = 1
+    for _, source, n in docs:
+        sums |= sums << n if source == "a" and n <= tok["b"] else 0
+    assert tok["a"] == (sums & ((1 << tok["b"] + 1) - 1)).bit_length() - 1
+    take = mx.fit({3: 2, 1_000_000: 5, 70_000: 9}, 3_140_006)
+    assert sum(n * k for n, k in take.items()) == 3_140_006
+
+
+def test_a_length_that_holds_most_rows_is_cut_into_parts(spark, monkeypatch):
+    monkeypatch.setattr(mx, "PART", 10)
+    sized = spark.range(1000).selectExpr("id as doc_id", "'a' as source", "cast(5 as bigint) as n_tokens").unionByName(spark.range(1).selectExpr("5000 as doc_id", "'b' as source", "cast(2501 as bigint) as n_tokens"))
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    rows = mx.mix_sources(sized, targets).collect()
+    assert sum(r.source == "a" for r in rows) == 500 and {r.repeats for r in rows} == {1}
