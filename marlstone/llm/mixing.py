@@ -42,10 +42,10 @@ def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
     total = sum(n * c for n, c in counts.items())
     if budget >= total:
         return dict(counts)
-    take = {n: c * budget // total for n, c in counts.items()}
-    rest = budget - sum(n * k for n, k in take.items())
     # Leave enough for the program to be exact, fill the surplus from the long end.
-    room = max(4 * max((n for n in counts if n <= rest), default=0), 4096)
+    room = max(4 * max((n for n in counts if n <= budget), default=0), 4096)
+    take = {n: c * max(0, budget - room) // total for n, c in counts.items()}
+    rest = budget - sum(n * k for n, k in take.items())
     for n in sorted(counts, reverse=True):
         if rest <= room:
             break
