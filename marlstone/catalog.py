@@ -62,8 +62,11 @@ class Index:
 
     @cached_property
     def texts(self) -> DataFrame:
-        t = self.raw("source_texts").withColumns({"file_id": clean_key("file_id"), "path": clean_path("path")})
-        return t.groupBy("file_id").agg(F.max(F.struct("path", "project", "text")).alias("r")).where("file_id is not null").select("file_id", "r.path", "r.project", "r.text")
+        """One row per file. Texts of files that come once, nearly all, are not shuffled for it; of several the greatest row holds (the table tells no times)."""
+        t = self.raw("source_texts").withColumns({"file_id": clean_key("file_id"), "path": clean_path("path")}).where("file_id is not null").select("file_id", "path", "project", "text")
+        more = t.groupBy("file_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("file_id")
+        several = t.join(more, "file_id", "left_semi").groupBy("file_id").agg(F.max(F.struct("path", "project", "text")).alias("r")).select("file_id", "r.path", "r.project", "r.text")
+        return t.join(more, "file_id", "left_anti").unionByName(several)
 
     @cached_property
     def nodes(self) -> DataFrame:

@@ -22,7 +22,7 @@ MANIFEST_NAMES = ["pyproject.toml", "package.json", "cargo.toml", "go.mod", "pom
 LOCATOR_MANIFESTS = ["cargo.toml", "dockerfile", "go.mod", "makefile", "package.json", "pom.xml", "pyproject.toml"]
 TEST_PARTS = ["test", "tests", "spec", "specs", "__tests__"]
 AUXILIARY_PARTS = [".git", ".next", "benchmark", "benchmarks", "build", "coverage", "dist", "doc", "docs", "documentation", "example", "examples", "fixture", "fixtures",
-                   "generated", "node_modules", "spec", "specs", "target", "test", "tests", "vendor"]
+                   "gen", "generated", "node_modules", "spec", "specs", "target", "test", "tests", "vendor"]
 NON_PRODUCT_PARTS = ["doc", "docs", "example", "examples", "sample", "samples", "fixture", "fixtures", "test", "tests", "testing", "__tests__", "integration_test",
                      "integration_tests", "e2e", "eval", "evals", "benchmark", "benchmarks", "demo", "demos", "playground", "generated"]
 PRODUCT_LANGUAGES = ["Python", "JavaScript", "TypeScript", "Go"]

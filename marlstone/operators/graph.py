@@ -136,27 +136,35 @@ def central_nodes(members: DataFrame, deg: DataFrame, nodes: DataFrame, limit: i
     return j.withColumn("position", rank).where(F.col("position") <= limit).select(group, "position", "id", "qualified_name", "in_degree", "out_degree")
 
 
-def layers(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(id, layer, cyclic): longest-path layers by peeling nodes without open predecessors; what lies on or behind a cycle is cyclic.
+def layers(edges: DataFrame) -> DataFrame:
+    """(id, layer, cyclic): longest-path layers; what lies on or behind a cycle is cyclic.
+
+    Peeling by counts: a node is in the next layer when as many of its predecessors are placed as it has. A round reads
+    the edges of the nodes placed in the last one and the counts of the nodes they lead to; rounds end when nothing is
+    free, so the number of layers is not bounded and nothing acyclic is called cyclic.
 
     Layers of cyclic nodes are the highest layer plus their rank by id.
     """
     ws = Workspace(edges.sparkSession, "layers")
-    e = ws.write(edges.where("source_id <> target_id").select("source_id", "target_id").distinct(), "edges")
-    nodes = e.select(F.col("source_id").alias("id")).unionByName(e.select(F.col("target_id").alias("id"))).distinct()
-    open_edges, done, layer = e, None, 0
-    remaining = ws.write(nodes, "open")
-    while layer < max_rounds:
-        free = remaining.join(open_edges.select(F.col("target_id").alias("id")), "id", "left_anti")
-        free = ws.write(free.select("id", F.lit(layer).alias("layer")), "free")
-        if free.limit(1).count() == 0:
-            break
-        done = free if done is None else done.unionByName(free)
-        remaining = ws.write(remaining.join(free, "id", "left_anti"), "open")
-        open_edges = ws.write(open_edges.join(free.select(F.col("id").alias("source_id")), "source_id", "left_anti"), "edges")
+    e = ws.write(edges.where("source_id <> target_id").select(F.col("source_id").alias("u"), F.col("target_id").alias("v")).distinct(), "edges")
+    nodes = e.select(F.col("u").alias("id")).unionByName(e.select(F.col("v").alias("id"))).distinct()
+    # Kahn's peeling with counts: a node is free when as many predecessors were freed as it has.
+    need = ws.write(e.groupBy("v").agg(F.count(F.lit(1)).alias("need")), "need")
+    front = ws.write(nodes.join(need.select(F.col("v").alias("id")), "id", "left_anti").select("id", F.lit(0).alias("layer")), "front")
+    done, freed, layer = front, None, 0
+    while not front.isEmpty():
         layer += 1
+        hit = front.select(F.col("id").alias("u")).join(e, "u").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+        # Counts of the nodes touched only; those that reach their need are the next layer.
+        old = hit if freed is None else hit.unionByName(freed.join(hit.select("v"), "v", "left_semi").select("v", "n")).groupBy("v").agg(F.sum("n").alias("n"))
+        now = ws.write(old.join(need, "v"), "now")
+        front = now.where("n >= need").select(F.col("v").alias("id"), F.lit(layer).alias("layer"))
+        part = now.where("n < need").select("v", "n")
+        freed = ws.write(part if freed is None else freed.join(now.select("v"), "v", "left_anti").unionByName(part), "freed")
+        done = done.unionByName(front)
+    done = ws.write(done, "done")
+    remaining = nodes.join(done.select("id"), "id", "left_anti")
+    top = done.agg(F.coalesce(F.max("layer"), F.lit(-1)).alias("top"))
     numbered = running(remaining.withColumn("_all", F.lit("all")), "_all", ["id"])
-    rest = numbered.select("id", (F.lit(layer - 1) + F.col("position")).cast("int").alias("layer"), F.lit(True).alias("cyclic"))
-    return rest if done is None else done.withColumn("cyclic", F.lit(False)).unionByName(rest)
-
-
+    rest = numbered.crossJoin(top).select("id", (F.col("top") + F.col("position")).cast("int").alias("layer"), F.lit(True).alias("cyclic"))
+    return done.withColumn("cyclic", F.lit(False)).unionByName(rest)

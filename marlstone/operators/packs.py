@@ -53,26 +53,26 @@ def split_by_budget(units: DataFrame, group: str, unit: str, size: str, budget:
     return units.groupBy(group).applyInPandas(run, f"{group} string, {unit} string, shard int, shard_bytes bigint, fits boolean")
 
 
-def expand_scopes(files: DataFrame, budget: int, max_depth: int = 32) -> DataFrame:
+def expand_scopes(files: DataFrame, budget: int) -> DataFrame:
     """(project, scope, owner, bytes, fits): top directories, replaced by their children while they are over the budget.
 
     Level by level: every file counts for its prefix of that depth; a prefix that fits, or is a file, is accepted, the
-    others go one level down. Sums are aggregations, no project is collected.
+    others go one level down, however deep the tree is. Sums are aggregations, no project is collected.
     """
     ws = Workspace(files.sparkSession, "scopes")
     f = ws.write(files.select("project", F.split("path", "/").alias("p"), "bytes"), "files")
-    out = None
-    for depth in range(1, max_depth + 1):
+    out, depth = None, 0
+    while True:
+        depth += 1
         scope = F.array_join(F.slice("p", 1, depth), "/")
         s = f.groupBy("project", scope.alias("scope")).agg(F.sum("bytes").alias("bytes"), F.max(F.size("p")).alias("deep"), F.min(F.element_at("p", 1)).alias("owner"))
         s = ws.write(s.withColumn("fits", F.col("bytes") <= budget), "level")
         done = s.where(F.col("fits") | (F.col("deep") <= depth)).select("project", "scope", "owner", "bytes", "fits")
         out = done if out is None else out.unionByName(done)
         rest = s.where(~F.col("fits") & (F.col("deep") > depth)).select("project", "scope")
-        if rest.limit(1).count() == 0:
-            break
+        if rest.isEmpty():
+            return out
         f = ws.write(f.withColumn("scope", scope).join(rest, ["project", "scope"], "left_semi").drop("scope"), "files")
-    return out
 
 
 def greedy_pack(hints: DataFrame, group: str, order: str, items: str, capacity: int) -> DataFrame:

@@ -55,9 +55,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset and the master is local (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _OWN_DIRS:
             _OWN_DIRS.append(tempfile.mkdtemp(prefix="marlstone-"))
             atexit.register(shutil.rmtree, _OWN_DIRS[0], True)
@@ -77,7 +79,7 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
-        atexit.register(_remove, self.root)
+        atexit.register(_remove, self.root, spark)
 
     def write(self, df: DataFrame, label: str = "t", by: str | None = None) -> DataFrame:
         """The frame, written and read back; ``by`` names a column of few values to lay it out by."""
@@ -93,12 +95,21 @@ class Workspace:
         for df in frames:
             path = getattr(df, "_marlstone_path", None)
             if path:
-                jvm = self.spark._jvm
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+                _delete(self.spark, path)
 
 
-def _remove(path: str) -> None:
+def _remove(path: str, spark: SparkSession) -> None:
+    """At the end of the driver, through the file system the path belongs to; a local path without it if the session is gone."""
     local = path.removeprefix("file://")
     if os.path.isabs(local):
         shutil.rmtree(local, ignore_errors=True)
+        return
+    try:
+        _delete(spark, path)
+    except Exception:  # noqa: BLE001 - the session has ended
+        pass
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -40,7 +40,8 @@ def N():
 
 # -- scans --------------------------------------------------------------------------------------------------------------
 
-MAX_FILE = 2000
+#: Bytes of the largest file that is indexed.
+MAX_FILE = 1_000_000
 SKIP = f"CASE WHEN text IS NULL THEN 'unreadable' WHEN list_has_any(string_split(path, '/'), {_arr(fp.EXCLUDED_DIRS)}) THEN 'excluded_directory' WHEN strlen(text) > {MAX_FILE} THEN 'too_large' WHEN contains(text, chr(0)) THEN 'binary' WHEN lower(regexp_extract(path, '[^/]*$')) LIKE '%.min.%' THEN 'unsupported' ELSE 'indexed' END"
 
 
@@ -57,7 +58,8 @@ def _(x):
     return x.texts.groupBy("project", skip_reason().alias("reason")).agg(N().alias("files"))
 
 
-BUDGET_FILES, BUDGET_BYTES = 60, 60_000
+#: Files and bytes at which a scan stops.
+BUDGET_FILES, BUDGET_BYTES = 100_000, 1_000_000_000
 
 
 @query("src02_scan_budget", sql(f"""r AS (SELECT project, path, id, size, row_number() OVER w AS position, sum(coalesce(size, 0)) OVER w AS running FROM fil WHERE project IS NOT NULL WINDOW w AS (PARTITION BY project ORDER BY path, id ROWS UNBOUNDED PRECEDING)),

@@ -104,29 +104,63 @@ def known_names(x: Index) -> DataFrame:
     return s.select("project", F.explode(F.array_distinct(F.array("name", "qualified_name"))).alias("key"), "cand_id", "file_id", "parent_id").where("key is not null")
 
 
-@query("join02_unique_calls", sql(NAMES_SQL + " SELECT r.id AS ref_id, min(n.id) AS target FROM rel r JOIN nm n ON n.project = r.project AND n.key = r.target_name WHERE r.kind = 'calls' AND r.target_id IS NULL GROUP BY r.id HAVING count(DISTINCT n.id) = 1"))
+def open_calls(x):
+    """Calls without a target that names may resolve; Go resolves by packages."""
+    r = x.relationships.where("kind = 'calls' and target_id is null and coalesce(analyzer, '') not like 'go-%'")
+    return r.select(F.col("id").alias("ref_id"), "project", "path", "source_id", "target_name", F.coalesce("analyzer", F.lit("")).alias("analyzer"))
+
+
+def import_bindings(x):
+    """(project, path, binding, target): the file a Python import binds a local name to, the last import of a name."""
+    b = x.relationships.where("analyzer = 'python-ast' and kind = 'import' and target_id is not null and receiver_type_hint like 'binding:%'")
+    return b.groupBy("project", "path", F.expr("substring(receiver_type_hint, 9)").alias("binding")).agg(F.max_by("target_id", F.struct("line", "id")).alias("target"))
+
+
+@query("join02_unique_calls", sql(NAMES_SQL + """ SELECT r.id AS ref_id, min(n.id) AS target FROM rel r JOIN nm n ON n.project = r.project AND n.key = r.target_name WHERE r.kind = 'calls' AND r.target_id IS NULL AND r.analyzer NOT LIKE 'go-%'
+  AND (r.analyzer <> 'python-ast' OR r.target_name NOT LIKE '%.%' AND NOT EXISTS (SELECT 1 FROM rel b WHERE b.analyzer = 'python-ast' AND b.kind = 'import' AND b.target_id IS NOT NULL AND b.project = r.project AND b.path = r.path AND b.receiver_type_hint = 'binding:' || r.target_name))
+  GROUP BY r.id HAVING count(DISTINCT n.id) = 1"""))
+def _(x):
+    """Calls by the whole name: of scripts, and of Python where the name is no import's; Go resolves by packages."""
+    refs = open_calls(x).where("analyzer <> 'python-ast' or target_name not like '%.%'").withColumn("key", F.col("target_name"))
+    own = import_bindings(x).select("project", "path", F.col("binding").alias("key")).withColumn("analyzer", F.lit("python-ast"))
+    return unique_match(refs.join(own, ["project", "path", "key", "analyzer"], "left_anti"), known_names(x).select("project", "key", "cand_id"), ["project", "key"])
+
+
+@query("join02_last_part_calls", sql(NAMES_SQL + """ SELECT r.id AS ref_id, min(n.id) AS target FROM rel r JOIN nm n ON n.project = r.project AND n.key = regexp_extract(r.target_name, '[^.]*$') WHERE r.kind = 'calls' AND r.target_id IS NULL AND r.target_name LIKE '%.%' AND r.analyzer NOT LIKE 'go-%' AND r.analyzer <> 'python-ast'
+  AND NOT EXISTS (SELECT 1 FROM nm w WHERE w.project = r.project AND w.key = r.target_name) GROUP BY r.id HAVING count(DISTINCT n.id) = 1"""))
 def _(x):
-    refs = x.relationships.where("kind = 'calls' and target_id is null").select(F.col("id").alias("ref_id"), "project", F.col("target_name").alias("key"))
-    return unique_match(refs, known_names(x).select("project", "key", "cand_id"), ["project", "key"])
+    """Calls of scripts whose whole name is unknown, by its last part."""
+    names = known_names(x).select("project", "key", "cand_id")
+    refs = open_calls(x).where("analyzer <> 'python-ast' and target_name like '%.%'").join(names.select("project", F.col("key").alias("target_name")).distinct(), ["project", "target_name"], "left_anti")
+    return unique_match(refs.withColumn("key", F.substring_index("target_name", ".", -1)), names, ["project", "key"])
 
 
-@query("join02_last_part_calls", sql(NAMES_SQL + " SELECT r.id AS ref_id, min(n.id) AS target FROM rel r JOIN nm n ON n.project = r.project AND n.key = regexp_extract(r.target_name, '[^.]*$') WHERE r.kind = 'calls' AND r.target_id IS NULL AND r.target_name LIKE '%.%' GROUP BY r.id HAVING count(DISTINCT n.id) = 1"))
+@query("join03_bound_calls", sql("""b AS (SELECT project, path, binding, target FROM (SELECT project, path, substr(receiver_type_hint, 9) AS binding, target_id AS target, row_number() OVER (PARTITION BY project, path, receiver_type_hint ORDER BY line DESC, id DESC) AS rn
+  FROM rel WHERE analyzer = 'python-ast' AND kind = 'import' AND target_id IS NOT NULL AND receiver_type_hint LIKE 'binding:%') WHERE rn = 1),
+c AS (SELECT id, project, path, string_split(target_name, '.') AS p FROM rel WHERE kind = 'calls' AND target_id IS NULL AND analyzer = 'python-ast' AND len(string_split(target_name, '.')) <= 2)
+SELECT c.id AS ref_id, min(s.id) AS target FROM c JOIN b ON b.project = c.project AND b.path = c.path AND b.binding = c.p[1] JOIN sym s ON s.file_id = b.target AND s.name = c.p[-1]
+WHERE len(c.p) = 1 OR c.p[1] NOT IN ('self', 'cls') GROUP BY c.id HAVING count(DISTINCT s.id) = 1"""))
 def _(x):
-    refs = x.relationships.where("kind = 'calls' and target_id is null and target_name like '%.%'").select(F.col("id").alias("ref_id"), "project", F.substring_index("target_name", ".", -1).alias("key"))
-    return unique_match(refs, known_names(x).select("project", "key", "cand_id"), ["project", "key"])
+    """Python calls through an import: a bound name, or a member of it, in the file the import leads to."""
+    part = F.split("target_name", r"\.")
+    refs = open_calls(x).where("analyzer = 'python-ast'").withColumns({"binding": F.element_at(part, 1), "name": F.element_at(part, -1), "parts": F.size(part)})
+    refs = refs.where("parts = 1 or parts = 2 and binding not in ('self', 'cls')")
+    bound = refs.join(import_bindings(x), ["project", "path", "binding"]).withColumnRenamed("target", "file_id")
+    return unique_match(bound, x.symbols.select("file_id", "name", F.col("id").alias("cand_id")), ["file_id", "name"])
 
 
-@query("join03_import_bindings", sql("SELECT path, project, binding, target FROM (SELECT project, path, substr(receiver_type_hint, 9) AS binding, target_id AS target, row_number() OVER (PARTITION BY project, path, receiver_type_hint ORDER BY line DESC, id DESC) AS rn FROM rel WHERE kind = 'import' AND target_id IS NOT NULL AND receiver_type_hint LIKE 'binding:%') WHERE rn = 1"))
+@query("join03_import_bindings", sql("SELECT path, project, binding, target FROM (SELECT project, path, substr(receiver_type_hint, 9) AS binding, target_id AS target, row_number() OVER (PARTITION BY project, path, receiver_type_hint ORDER BY line DESC, id DESC) AS rn FROM rel WHERE analyzer = 'python-ast' AND kind = 'import' AND target_id IS NOT NULL AND receiver_type_hint LIKE 'binding:%') WHERE rn = 1"))
 def _(x):
-    b = x.relationships.where("kind = 'import' and target_id is not null and receiver_type_hint like 'binding:%'")
-    return b.groupBy("project", "path", F.substring("receiver_type_hint", 9, 10000).alias("binding")).agg(F.max_by("target_id", F.struct("line", "id")).alias("target"))
+    return import_bindings(x)
 
 
-@query("join04_self_calls", sql("""c AS (SELECT r.id, r.project, regexp_extract(r.target_name, '[^.]*$') AS name, s.parent_id FROM rel r JOIN sym s ON s.id = r.source_id WHERE r.kind = 'calls' AND s.parent_id IS NOT NULL)
+@query("join04_self_calls", sql("""c AS (SELECT r.id, r.project, regexp_extract(r.target_name, '[^.]*$') AS name, s.parent_id FROM rel r JOIN sym s ON s.id = r.source_id
+  WHERE r.kind = 'calls' AND r.target_id IS NULL AND r.analyzer = 'python-ast' AND r.target_name SIMILAR TO '(self|cls)[.][^.]+' AND s.parent_id IS NOT NULL)
 SELECT c.id AS ref_id, min(t.id) AS target FROM c JOIN sym t ON t.parent_id = c.parent_id AND t.name = c.name GROUP BY c.id HAVING count(DISTINCT t.id) = 1"""))
 def _(x):
     s = x.symbols.where("parent_id is not null").select(F.col("id").alias("source_id"), "parent_id")
-    refs = x.relationships.where("kind = 'calls'").join(s, "source_id").select(F.col("id").alias("ref_id"), F.substring_index("target_name", ".", -1).alias("name"), "parent_id")
+    calls = open_calls(x).where("analyzer = 'python-ast'").where(F.col("target_name").rlike(r"^(self|cls)\.[^.]+$"))
+    refs = calls.join(s, "source_id").select("ref_id", F.substring_index("target_name", ".", -1).alias("name"), "parent_id")
     return unique_match(refs, x.symbols.select("parent_id", "name", F.col("id").alias("cand_id")), ["parent_id", "name"])
 
 
@@ -194,12 +228,12 @@ def _(x):
     return direct.unionByName(via).distinct()
 
 
-@query("join14_manifest_refs", sql("""m AS (SELECT id, unnest(implementation_modules) AS m FROM cap)
-SELECT m.id, m.m.path AS path, count(f.id) AS files FROM m LEFT JOIN fil f ON f.path = m.m.path OR starts_with(f.path, m.m.path || '/') WHERE m.m.path IS NOT NULL GROUP BY 1, 2"""))
+@query("join14_manifest_refs", sql("""m AS (SELECT id, project, unnest(implementation_modules) AS m FROM cap)
+SELECT m.id, m.m.path AS path, count(DISTINCT f.id) AS files FROM m LEFT JOIN fil f ON f.project = m.project AND (f.path = m.m.path OR starts_with(f.path, m.m.path || '/')) WHERE m.m.path IS NOT NULL GROUP BY 1, 2"""))
 def _(x):
-    m = x.capabilities.select("id", F.explode("implementation_modules").alias("m")).where("m.path is not null").select("id", F.col("m.path").alias("path"))
-    up = x.files.select(F.col("id").alias("file"), F.explode(F.array_distinct(prefixes(F.col("path"), "/"))).alias("path")).groupBy("path").agg(F.count_distinct("file").alias("n"))
-    return m.groupBy("id", "path").agg(N().alias("times")).join(up, "path", "left").select("id", "path", (F.coalesce("n", F.lit(0)) * F.col("times")).alias("raw"), "times").select("id", "path", F.greatest(F.col("raw"), F.lit(0)).alias("files"))
+    m = x.capabilities.select("id", "project", F.explode("implementation_modules").alias("m")).where("m.path is not null").select("id", "project", F.col("m.path").alias("path")).distinct()
+    up = x.files.select("project", F.explode(F.array_distinct(prefixes(F.col("path"), "/"))).alias("path")).groupBy("project", "path").agg(N().alias("files"))
+    return m.join(up, ["project", "path"], "left").select("id", "path", F.coalesce("files", F.lit(0)).alias("files"))
 
 
 @query("join15_command_handlers", sql("""k AS (SELECT f.id, f.project, s.path, lower(replace(f.entrypoint, '-', '_')) AS cmd FROM feat f JOIN sym s ON s.id = f.entry_symbol_id)
@@ -420,7 +454,7 @@ def _(x):
     from .operators.packs import greedy_pack
 
     h = x.capabilities.select("project", "id", "evidence_ids").where("project is not null")
-    return greedy_pack(h, "project", "id", "evidence_ids", 12)
+    return greedy_pack(h, "project", "id", "evidence_ids", 2_000)
 
 
 # -- sets ---------------------------------------------------------------------------------------------------------------
@@ -649,7 +683,7 @@ def _(x):
 
 
 #: Limits a packet is tried with, largest first, and the bytes it may have.
-LADDER, PACKET_BYTES = [64, 32, 16, 8, 4], 3000
+LADDER, PACKET_BYTES = [64, 32, 16, 8, 4], 640_000
 
 
 @query("rank14_packet_ladder", sql(f"""r AS (SELECT project, row_number() OVER w AS n, sum(strlen(coalesce(snippet, ''))) OVER w AS bytes FROM ev WINDOW w AS (PARTITION BY project ORDER BY id ROWS UNBOUNDED PRECEDING)),

@@ -64,7 +64,6 @@ def python_facts(file_id: str, path: str, text: str) -> list[dict]:
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
         return [diagnostic(path, "python-syntax-error", str(e)[:200], getattr(e, "lineno", None))]
     out: list[dict] = []
-    package = path.rsplit(".", 1)[0].replace("/", ".")
 
     def scope(body, owner: str, prefix: str, in_class: bool) -> None:
         # Only bodies are walked: decorators and defaults give no calls.
@@ -74,11 +73,10 @@ def python_facts(file_id: str, path: str, text: str) -> list[dict]:
             if isinstance(n, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)):
                 klass = isinstance(n, ast.ClassDef)
                 kind = "class" if klass else "method" if in_class else "async-function" if isinstance(n, ast.AsyncFunctionDef) else "function"
-                qualified = f"{prefix}.{n.name}"
-                head = f"class {n.name}" if klass else f"def {n.name}({', '.join(a.arg for a in [*n.args.posonlyargs, *n.args.args, *n.args.kwonlyargs])})"
-                s = symbol(path, n.name, qualified, kind, n.lineno, n.end_lineno, "python-ast", "exact", parent=None if owner == file_id else owner, signature=head)
+                qualified = f"{prefix}.{n.name}" if prefix else n.name
+                s = symbol(path, n.name, qualified, kind, n.lineno, n.end_lineno, "python-ast", "exact", parent=None if owner == file_id else owner, signature=None if klass else ast.unparse(n.args))
                 out.append(s)
-                out.append(edge(path, owner, "contains", n.name, n.lineno, "python-ast", "exact", target=s["id"]))
+                out.append(edge(path, owner, "contains", qualified, n.lineno, "python-ast", "exact", target=s["id"]))
                 scope(n.body, s["id"], qualified, klass)
                 continue
             if isinstance(n, ast.Import):
@@ -91,7 +89,7 @@ def python_facts(file_id: str, path: str, text: str) -> list[dict]:
                 out.append(edge(path, owner, "calls", name, n.lineno, "python-ast", "heuristic"))
             todo.extend(reversed(list(ast.iter_child_nodes(n))))
 
-    scope(tree.body, file_id, package, False)
+    scope(tree.body, file_id, "", False)
     return out
 
 
@@ -100,8 +98,8 @@ def python_facts(file_id: str, path: str, text: str) -> list[dict]:
 _JS_IMPORT = re.compile(r"""\bimport\s+(?:type\s+)?(?:[\w*{}\s,$]+?\s+from\s+)?["']([^"']+)["']|\brequire\(\s*["']([^"']+)["']\s*\)|\bexport\s+[\w*{}\s,$]+?\s+from\s+["']([^"']+)["']""")
 _JS_DECLARE = [
     ("class", re.compile(r"^[ \t]*(export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+([A-Za-z_$][\w$]*)", re.M)),
-    ("function", re.compile(r"^[ \t]*(export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)", re.M)),
-    ("function", re.compile(r"^[ \t]*(export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:\([^)\n]*\)|[A-Za-z_$][\w$]*)\s*(?::[^=\n]+)?=>", re.M)),
+    ("function", re.compile(r"^[ \t]*(export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)\s*(\([^\n{]*\))?", re.M)),
+    ("function", re.compile(r"^[ \t]*(export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=\n]+)?=\s*(?:async\s*)?(\([^)\n]*\)|[A-Za-z_$][\w$]*)\s*(?::[^=\n]+)?=>", re.M)),
 ]
 
 
@@ -112,7 +110,6 @@ def _line_at(starts: list[int], pos: int) -> int:
 def javascript_facts(file_id: str, path: str, text: str) -> list[dict]:
     starts = [0, *(m.end() for m in re.finditer("\n", text))]
     out, seen = [], set()
-    base = path.rsplit(".", 1)[0].replace("/", ".")
     for m in _JS_IMPORT.finditer(text):
         out.append(edge(path, file_id, "import", m[1] or m[2] or m[3], _line_at(starts, m.start()), "javascript-regex", "heuristic"))
     for kind, pattern in _JS_DECLARE:
@@ -121,7 +118,7 @@ def javascript_facts(file_id: str, path: str, text: str) -> list[dict]:
             if (m[2], line) in seen:
                 continue
             seen.add((m[2], line))
-            s = symbol(path, m[2], f"{base}.{m[2]}", kind, line, line, "javascript-regex", "heuristic", exported=bool(m[1]))
+            s = symbol(path, m[2], m[2], kind, line, line, "javascript-regex", "heuristic", signature=m[3] if m.re.groups > 2 else None, exported=bool(m[1]))
             out += [s, edge(path, file_id, "contains", m[2], line, "javascript-regex", "heuristic", target=s["id"])]
     return out
 
@@ -416,7 +413,7 @@ def javascript_boundaries(path: str, text: str | None) -> list[tuple[str, str, i
 
 
 def python_structure_digest(text: str | None) -> str | None:
-    """Digest of signatures, bases, decorators and imports of a file; bodies do not count. Null where it does not parse."""
+    """Digest of signatures, bases, class keywords and properties, decorators and imports of a file; bodies do not count. Null where it does not parse."""
     try:
         tree = ast.parse(text or "")
     except (SyntaxError, ValueError):
@@ -428,7 +425,11 @@ def python_structure_digest(text: str | None) -> str | None:
             if isinstance(n, (ast.Import, ast.ImportFrom)):
                 lines.append(f"{prefix}{ast.unparse(n)}")
             elif isinstance(n, ast.ClassDef):
-                lines.append(f"{prefix}class {n.name}({', '.join(map(ast.unparse, n.bases))}) {[ast.unparse(d) for d in n.decorator_list]}")
+                lines.append(f"{prefix}class {n.name}({', '.join(map(ast.unparse, n.bases))}) {[(k.arg, ast.unparse(k.value)) for k in n.keywords]} {[ast.unparse(d) for d in n.decorator_list]}")
+                for c in n.body:
+                    if isinstance(c, (ast.Assign, ast.AnnAssign)):
+                        kind = ast.unparse(c.annotation) if isinstance(c, ast.AnnAssign) else None
+                        lines.extend(f"{prefix}{n.name} property {t.id}: {kind}" for t in (c.targets if isinstance(c, ast.Assign) else [c.target]) if isinstance(t, ast.Name))
                 walk(n.body, prefix + n.name + ".")
             elif isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
                 lines.append(f"{prefix}{type(n).__name__} {n.name}({ast.unparse(n.args)}) -> {ast.unparse(n.returns) if n.returns else ''} {[ast.unparse(d) for d in n.decorator_list]}")

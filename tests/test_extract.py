@@ -8,7 +8,9 @@ def kinds(facts, tag):
 def test_python():
     src = "import os\nfrom .m import a as b\n@deco()\nclass C:\n    def m(self, x=call()):\n        self.k()\n        os.path.join(x)\nasync def f():\n    pass\n"
     facts = ex.python_facts("f1", "p/a.py", src)
-    assert kinds(facts, "symbol") == {("class", "p.a.C"), ("method", "p.a.C.m"), ("async-function", "p.a.f")}
+    assert kinds(facts, "symbol") == {("class", "C"), ("method", "C.m"), ("async-function", "f")}
+    assert {f["name"]: f["signature"] for f in facts if f["tag"] == "symbol"} == {"C": None, "m": "self, x=call()", "f": ""}
+    assert {f["target_name"] for f in facts if f.get("kind") == "contains"} == {"C", "C.m", "f"}
     assert {("calls", "self.k"), ("calls", "os.path.join"), ("import", "os"), ("import", "m.a")} <= kinds(facts, "edge")
     assert ("calls", "deco") not in kinds(facts, "edge") and ("calls", "call") not in kinds(facts, "edge")
     assert [f["name"] for f in ex.python_facts("f", "a.py", "def f(:\n")] == ["python-syntax-error"]
@@ -16,7 +18,8 @@ def test_python():
 
 def test_javascript():
     facts = ex.javascript_facts("f", "a/b.ts", "import x from './y';\nexport class K {}\nconst go = async (a) => 1;\nfunction h() {}\n")
-    assert kinds(facts, "symbol") == {("class", "a/b.K".replace("/", ".")), ("function", "a.b.go"), ("function", "a.b.h")}
+    assert kinds(facts, "symbol") == {("class", "K"), ("function", "go"), ("function", "h")}
+    assert {f["name"]: f["signature"] for f in facts if f["tag"] == "symbol"} == {"K": None, "go": "(a)", "h": "()"}
     assert ("import", "./y") in kinds(facts, "edge")
 
 
@@ -47,6 +50,8 @@ def test_entry_lines():
 
 def test_structure_digest_ignores_bodies():
     a, b, c = (ex.python_structure_digest(s) for s in ("def f(x):\n    return 1\n", "def f(x):\n    return 2\n", "def f(y):\n    return 1\n"))
+    d = [ex.python_structure_digest(t) for t in ("class A:\n    x: int = 1\n", "class A:\n    x: str = 1\n", "class A:\n    x: int = 2\n", "class A(k=1):\n    x: int = 1\n")]
+    assert d[0] == d[2] and len({d[0], d[1], d[3]}) == 3
     assert a == b != c and ex.python_structure_digest("def (") is None
 
 

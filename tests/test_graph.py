@@ -82,6 +82,24 @@ def test_layers(spark):
     assert got["p"][1] and got["q"][1] and got["p"][0] < got["q"][0]
 
 
+def test_layers_of_a_long_chain(spark):
+    """More layers than any fixed number of rounds, and a cycle behind them."""
+    n = 70
+    pairs = [(f"n{i:03}", f"n{i + 1:03}") for i in range(n)] + [("n000", f"n{n:03}"), ("p", "q"), ("q", "p"), ("q", "r")]
+    got = {r.id: (r.layer, r.cyclic) for r in g.layers(edges(spark, pairs)).collect()}
+    assert all(got[f"n{i:03}"] == (i, False) for i in range(n + 1))
+    assert [got[k] for k in "pqr"] == [(n + 1, True), (n + 2, True), (n + 3, True)]
+
+
+def test_scopes_of_a_deep_tree(spark):
+    from marlstone.operators.packs import expand_scopes
+
+    deep = "/".join(f"d{i}" for i in range(40))
+    rows = [("p", f"{deep}/a.py", 60), ("p", f"{deep}/b.py", 60), ("p", "d0/c.py", 5)]
+    got = {r.scope: (r.bytes, r.fits) for r in expand_scopes(spark.createDataFrame(rows, "project string, path string, bytes bigint"), 100).collect()}
+    assert got == {f"{deep}/a.py": (60, True), f"{deep}/b.py": (60, True), "d0/c.py": (5, True)}
+
+
 def test_running_totals_over_parts(spark):
     rng = random.Random(9)
     rows = [(rng.choice("ab"), i, rng.randrange(9)) for i in range(500)]
