@@ -253,3 +253,18 @@ def test_groups_with_names_that_share_a_number(spark):
     df = spark.createDataFrame(pairs, "s string, t string")
     got = {(r.node, r.group) for r in connected_groups(df, "s", "t", number=lambda c: F.pmod(F.xxhash64(c), F.lit(7))).collect()}
     assert got == {(r.node, r.group) for r in connected_groups(df, "s", "t").collect()} and len(got) == 60
+
+
+def test_sets_of_many_texts_are_those_of_each():
+    import numpy as np
+
+    from marlstone.llm.lexing import shingle_hashes, signatures, token_codes, token_sets
+
+    texts = ["", "// only\n", "a", "a b c d", "a = b + 1;\n" * 50, "x", _fill(_shape(1), random.Random(2)), "f('s', 2) # c\n", "q" * 5000]
+    for block in (1, 7, 10_000):
+        for text, (n, names, literals, masked, plain, codes) in zip(texts, token_sets(texts, block)):
+            m, p = token_codes(text)
+            assert n == len(m) and names == int((m == 1).sum()) and literals == int(((m == 2) | (m == 3)).sum()) and (codes == p).all()
+            assert set(masked.tolist()) == set((shingle_hashes(m) >> np.uint64(32)).tolist()) and (plain == shingle_hashes(p)).all()
+    top = np.array([2**64 - 1], np.uint64)
+    assert signatures([top]).shape == (1, 64)
