@@ -17,7 +17,7 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 STATE_TOKENS = ["state", "store", "storage", "repo", "repository", "db", "database", "cache", "memory", "session", "queue", "index", "record"]
 SEED_KINDS = ["http-route", "cli-command", "entrypoint", "entrypoint-candidate", "capability-source-audited", "capability-role-slice"]
-#: Budget of a feature slice, and what the checks use so that it does not bind.
+#: Budget of a feature slice.
 SLICE_DEPTH, SLICE_NODES = 4, 180
 
 
@@ -48,10 +48,22 @@ DEG = "deg AS (SELECT id, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS out_deg
 SEEDS = "seeds AS (SELECT f.id AS seed, f.entry_symbol_id AS id FROM feat f WHERE f.entry_symbol_id IN (SELECT source_id FROM edge UNION SELECT target_id FROM edge))"
 
 
-def reach(pairs: str, depth: int) -> str:
-    return f"""step AS (SELECT DISTINCT * FROM ({pairs})),
-walk AS (SELECT seed, id, 0 AS d FROM seeds UNION SELECT w.seed, s.v, w.d + 1 FROM walk w JOIN step s ON w.id = s.u WHERE w.d < {depth}),
-seen AS (SELECT seed, id, min(d) AS distance FROM walk GROUP BY seed, id)
+#: Nodes a traversal visits at most, for one seed.
+VISITS = 80
+
+
+def queue(pairs: str, depth: int, limit: int = VISITS, name: str = "seen") -> str:
+    """SQL: a bounded breadth-first visit of every seed in queue order, level by level; ``name`` (seed, id, distance, rank)."""
+    p = f"{name}_"
+    out = f"""{p}step AS (SELECT DISTINCT * FROM ({pairs})),
+{p}s0 AS (SELECT * FROM (SELECT seed, id, 0 AS distance, row_number() OVER (PARTITION BY seed ORDER BY id) AS rank FROM (SELECT DISTINCT seed, id FROM seeds)) WHERE rank <= {limit}), {p}r0 AS (SELECT * FROM {p}s0)"""
+    for d in range(1, depth + 1):
+        out += f""",
+{p}f{d} AS (SELECT w.seed, t.v AS id, min(w.rank) AS via FROM {p}r{d - 1} w JOIN {p}step t ON w.id = t.u WHERE (w.seed, t.v) NOT IN (SELECT (seed, id) FROM {p}s{d - 1}) GROUP BY ALL),
+{p}r{d} AS (SELECT * FROM (SELECT f.seed, f.id, {d} AS distance, n.n + row_number() OVER (PARTITION BY f.seed ORDER BY via, f.id) AS rank FROM {p}f{d} f JOIN (SELECT seed, count(*) AS n FROM {p}s{d - 1} GROUP BY seed) n ON n.seed = f.seed) WHERE rank <= {limit}),
+{p}s{d} AS (SELECT * FROM {p}s{d - 1} UNION ALL SELECT * FROM {p}r{d})"""
+    return out + f""",
+{name} AS (SELECT seed, id, distance, rank::INT AS rank FROM {p}s{depth})
 """
 
 
@@ -60,9 +72,9 @@ REV = "SELECT target_id AS u, source_id AS v FROM edge"
 CALLS = f" WHERE kind IN {_lit_list(g.CALL_KINDS)}"
 
 
-def _entry_seeds(x: Index) -> DataFrame:
-    """Features and the node each starts from, where it is a node of the graph."""
-    ends = x.edges.select(F.col("source_id").alias("id")).unionByName(x.edges.select(F.col("target_id").alias("id"))).distinct()
+def _entry_seeds(x: Index, edges: DataFrame) -> DataFrame:
+    """Features and the node each starts from, where it is a node of the graph (its written edges)."""
+    ends = edges.select(F.col("source_id").alias("id")).unionByName(edges.select(F.col("target_id").alias("id"))).distinct()
     return x.features.select(F.col("id").alias("seed"), F.col("entry_symbol_id").alias("id")).join(ends, "id", "left_semi").select("seed", "id")
 
 
@@ -142,49 +154,46 @@ def _(x):
     return g.central_nodes(g.components(edges), g.degrees(edges), x.nodes)
 
 
-@query("graph03_traverse_both", sql(SEEDS + ", " + reach(FWD + " UNION ALL " + REV, 2) + "SELECT seed, id, distance FROM seen"))
-def _(x):
-    return g.traverse(_graph(x)[0], _entry_seeds(x), direction="both", depth=2, limit=None).select("seed", "id", "distance")
+def _visit(x: Index, direction: str, kinds: list[str] | None = None) -> DataFrame:
+    edges, _ = _graph(x)
+    return g.traverse(edges, _entry_seeds(x, edges), direction=direction, depth=2, limit=VISITS, kinds=kinds).select("seed", "id", "distance", "rank")
 
 
-@query("graph03_traverse_limited")
+@query("graph03_traverse_both", sql(SEEDS + ", " + queue(FWD + " UNION ALL " + REV, 2) + "SELECT seed, id, distance, rank FROM seen"))
 def _(x):
-    return g.traverse(_graph(x)[0], _entry_seeds(x), direction="both", depth=2, limit=80).select("seed", "id", "distance", "rank")
+    return _visit(x, "both")
 
 
-@query("graph03_induced_edges", sql(SEEDS + ", " + reach(FWD + " UNION ALL " + REV, 1) + "SELECT a.seed, e.id, e.source_id, e.target_id, e.kind FROM edge e JOIN seen a ON a.id = e.source_id JOIN seen b ON b.id = e.target_id AND b.seed = a.seed"))
+@query("graph03_induced_edges", sql(SEEDS + ", " + queue(FWD + " UNION ALL " + REV, 1) + "SELECT a.seed, e.id, e.source_id, e.target_id, e.kind FROM edge e JOIN seen a ON a.id = e.source_id JOIN seen b ON b.id = e.target_id AND b.seed = a.seed"))
 def _(x):
     edges, _ = _graph(x)
-    return g.induced(edges, g.traverse(edges, _entry_seeds(x), direction="both", depth=1, limit=None))
+    return g.induced(edges, g.traverse(edges, _entry_seeds(x, edges), direction="both", depth=1, limit=VISITS))
 
 
-@query("graph05_callers", sql(SEEDS + ", " + reach(REV + CALLS, 2) + "SELECT seed, id, distance FROM seen WHERE distance > 0"))
+@query("graph05_callers", sql(SEEDS + ", " + queue(REV + CALLS, 2) + "SELECT seed, id, distance, rank FROM seen WHERE distance > 0"))
 def _(x):
-    return g.traverse(_graph(x)[0], _entry_seeds(x), direction="reverse", depth=2, limit=None, kinds=g.CALL_KINDS).where("distance > 0").select("seed", "id", "distance")
+    return _visit(x, "reverse", g.CALL_KINDS).where("distance > 0")
 
 
-@query("graph06_callees", sql(SEEDS + ", " + reach(FWD + CALLS, 2) + "SELECT seed, id, distance FROM seen WHERE distance > 0"))
+@query("graph06_callees", sql(SEEDS + ", " + queue(FWD + CALLS, 2) + "SELECT seed, id, distance, rank FROM seen WHERE distance > 0"))
 def _(x):
-    return g.traverse(_graph(x)[0], _entry_seeds(x), direction="forward", depth=2, limit=None, kinds=g.CALL_KINDS).where("distance > 0").select("seed", "id", "distance")
+    return _visit(x, "forward", g.CALL_KINDS).where("distance > 0")
 
 
-IMPACT_SQL = (SEEDS + f""",
-fwd AS (SELECT DISTINCT source_id AS u, target_id AS v FROM edge), bwd AS (SELECT DISTINCT target_id AS u, source_id AS v FROM edge),
-down AS (SELECT seed, id, 0 AS d FROM seeds UNION SELECT w.seed, s.v, w.d + 1 FROM down w JOIN fwd s ON w.id = s.u WHERE w.d < 2),
-up AS (SELECT seed, id, 0 AS d FROM seeds UNION SELECT w.seed, s.v, w.d + 1 FROM up w JOIN bwd s ON w.id = s.u WHERE w.d < 2)
+IMPACT_SQL = (SEEDS + ", " + queue(FWD, 2, name="down") + ", " + queue(REV, 2, name="up") + f"""
 SELECT s.seed, e.source_id AS id, 'direct-caller' AS impact FROM seeds s JOIN edge e ON e.target_id = s.id WHERE e.kind IN {_lit_list(g.IMPACT_KINDS)}
 UNION SELECT s.seed, e.target_id, 'direct-callee' FROM seeds s JOIN edge e ON e.source_id = s.id WHERE e.kind IN {_lit_list(g.IMPACT_KINDS)}
-UNION SELECT seed, id, 'indirect' FROM (SELECT seed, id, min(d) AS d FROM down GROUP BY ALL UNION ALL SELECT seed, id, min(d) FROM up GROUP BY ALL) WHERE d > 1 AND (seed, id) NOT IN (SELECT (seed, id) FROM seeds)""")
+UNION SELECT seed, id, 'indirect' FROM (SELECT * FROM down UNION ALL SELECT * FROM up) WHERE distance > 1 AND (seed, id) NOT IN (SELECT (seed, id) FROM seeds)""")
 
 
 @query("graph07_impact", sql(IMPACT_SQL))
 def _(x):
     edges, ws = _graph(x)
-    seeds = ws.write(_entry_seeds(x), "seeds")
+    seeds = ws.write(_entry_seeds(x, edges), "seeds")
     calls = edges.where(F.col("kind").isin(g.IMPACT_KINDS))
     callers = seeds.join(calls, seeds.id == calls.target_id).select("seed", F.col("source_id").alias("id"), F.lit("direct-caller").alias("impact"))
     callees = seeds.join(calls, seeds.id == calls.source_id).select("seed", F.col("target_id").alias("id"), F.lit("direct-callee").alias("impact"))
-    far = [g.traverse(edges, seeds, direction=d, depth=2, limit=None).where("distance > 1").select("seed", "id") for d in ("forward", "reverse")]
+    far = [g.traverse(edges, seeds, direction=d, depth=2, limit=VISITS).where("distance > 1").select("seed", "id") for d in ("forward", "reverse")]
     indirect = far[0].unionByName(far[1]).join(seeds, ["seed", "id"], "left_anti").withColumn("impact", F.lit("indirect"))
     return callers.unionByName(callees).unionByName(indirect).distinct()
 
@@ -202,13 +211,13 @@ EXPLORE = "ledger"
 
 @query("graph09_explore", sql(f"""seeds AS (SELECT 'q' AS seed, id FROM node WHERE id IN (SELECT source_id FROM edge UNION SELECT target_id FROM edge)
   AND (lower(name) LIKE '%{EXPLORE}%' OR lower(qualified_name) LIKE '%{EXPLORE}%' OR lower(path) LIKE '%{EXPLORE}%') ORDER BY id LIMIT 20),
-""" + reach(FWD + " UNION ALL " + REV, 1) + "SELECT s.id, s.distance, n.qualified_name, n.path FROM seen s JOIN node n ON n.id = s.id"))
+""" + queue(FWD + " UNION ALL " + REV, 1) + "SELECT s.id, s.distance, n.qualified_name, n.path FROM seen s JOIN node n ON n.id = s.id"))
 def _(x):
     edges, _ = _graph(x)
     ends = edges.select(F.col("source_id").alias("id")).unionByName(edges.select(F.col("target_id").alias("id"))).distinct()
     hit = x.nodes.where(F.lower("name").contains(EXPLORE) | F.lower("qualified_name").contains(EXPLORE) | F.lower("path").contains(EXPLORE)).join(ends, "id", "left_semi")
     seeds = hit.select("id").orderBy("id").limit(20).withColumn("seed", F.lit("q"))
-    seen = g.traverse(edges, seeds, direction="both", depth=1, limit=None)
+    seen = g.traverse(edges, seeds, direction="both", depth=1, limit=VISITS)
     return seen.join(x.nodes.select("id", "qualified_name", "path"), "id").select("id", "distance", "qualified_name", "path")
 
 
@@ -304,15 +313,15 @@ def _(x):
 
 def slices(x: Index, edges: DataFrame) -> DataFrame:
     """(seed, id, distance, rank): the slice of every feature within its depth and node budget."""
-    return g.traverse(edges, _entry_seeds(x), direction="both", depth=SLICE_DEPTH, limit=SLICE_NODES)
+    return g.traverse(edges, _entry_seeds(x, edges), direction="both", depth=SLICE_DEPTH, limit=SLICE_NODES)
 
 
-@query("graph04_feature_slices")
+@query("graph04_feature_slices", sql(SEEDS + ", " + queue(FWD + " UNION ALL " + REV, SLICE_DEPTH, SLICE_NODES) + "SELECT seed, id, distance, rank FROM seen"))
 def _(x):
     return slices(x, _graph(x)[0]).select("seed", "id", "distance", "rank")
 
 
-SLICE1 = SEEDS + ", " + reach(FWD + " UNION ALL " + REV, 1)
+SLICE = SEEDS + ", " + queue(FWD + " UNION ALL " + REV, SLICE_DEPTH, SLICE_NODES)
 STATE = f"len(list_filter({TOKENS('''coalesce(n.qualified_name, '') || ' ' || coalesce(n.path, '') || ' ' || coalesce(n.symbol_kind, '')''')}, lambda x: x IN {_lit_list(STATE_TOKENS)}))"
 
 
@@ -323,9 +332,9 @@ def state_nodes(x: Index, seen: DataFrame, n: int) -> DataFrame:
 
 
 def prompt_projection(x: Index, seen: DataFrame) -> DataFrame:
-    n = seen.select("seed", "id", "distance").join(x.nodes.select("id", preferred_label("path").alias("label")), "id").withColumn("nodes", F.count(F.lit(1)).over(Window.partitionBy("seed")))
-    ordered = top(n, ["seed"], ["distance", "id"], 12).groupBy("seed").agg(F.max("nodes").alias("nodes"), F.sort_array(F.collect_list(F.struct("position", "id", "label"))).alias("l"))
-    return ordered.select("seed", "nodes", F.array_join("l.id", ",").alias("first_nodes"), F.array_join("l.label", ",").alias("labels"))
+    n = Workspace(x.spark, "shown").write(seen.select("seed", "id", "distance").join(x.nodes.select("id", preferred_label("path").alias("label")), "id"), "nodes")
+    ordered = top(n, ["seed"], ["distance", "id"], 12).groupBy("seed").agg(F.sort_array(F.collect_list(F.struct("position", "id", "label"))).alias("l"))
+    return ordered.join(n.groupBy("seed").agg(F.count(F.lit(1)).alias("nodes")), "seed").select("seed", "nodes", F.array_join("l.id", ",").alias("first_nodes"), F.array_join("l.label", ",").alias("labels"))
 
 
 def candidate_steps(x: Index, seen: DataFrame) -> DataFrame:
@@ -335,51 +344,27 @@ def candidate_steps(x: Index, seen: DataFrame) -> DataFrame:
     return first.select("seed", F.when(F.col("position") == 1, "trigger").otherwise("core").alias("role"), "id").unionByName(state.select("seed", F.lit("state").alias("role"), "id"))
 
 
-# The four one-hop queries agree with their SQL; the slice queries after them rank the whole bounded slice, which SQL cannot express.
-
-
-@query("rank02_state_nodes", sql(SLICE1 + f"SELECT seed, position, id, score FROM (SELECT s.seed, n.id, {STATE} AS score, row_number() OVER (PARTITION BY seed ORDER BY {STATE} DESC, n.id) AS position FROM seen s JOIN node n ON n.id = s.id WHERE {STATE} > 0) WHERE position <= 4"))
-def _(x):
-    return state_nodes(x, g.traverse(_graph(x)[0], _entry_seeds(x), direction="both", depth=1, limit=None), 4).select("seed", "position", "id", "score")
-
-
-@query("rank03_key_edges", sql(SLICE1 + f"SELECT seed, position, id FROM (SELECT a.seed, e.id, row_number() OVER (PARTITION BY a.seed ORDER BY e.id) AS position FROM edge e JOIN seen a ON a.id = e.source_id JOIN seen b ON b.id = e.target_id AND b.seed = a.seed WHERE e.kind IN {_lit_list(g.IMPACT_KINDS)}) WHERE position <= 4"))
-def _(x):
-    edges, _ = _graph(x)
-    seen = g.traverse(edges, _entry_seeds(x), direction="both", depth=1, limit=None)
-    return top(g.induced(edges, seen, g.IMPACT_KINDS), ["seed"], ["id"], 4).select("seed", "position", "id")
-
-
-@query("graph16_prompt_projection", sql(SLICE1 + f""", ranked AS (SELECT s.seed, n.id, {LABEL.replace('path', 'n.path')} AS label, row_number() OVER (PARTITION BY s.seed ORDER BY s.distance, n.id) AS position, count(*) OVER (PARTITION BY s.seed) AS nodes FROM seen s JOIN node n ON n.id = s.id)
-SELECT seed, any_value(nodes) AS nodes, string_agg(id, ',' ORDER BY position) AS first_nodes, string_agg(label, ',' ORDER BY position) AS labels FROM ranked WHERE position <= 12 GROUP BY seed"""))
-def _(x):
-    return prompt_projection(x, g.traverse(_graph(x)[0], _entry_seeds(x), direction="both", depth=1, limit=None))
-
-
-@query("graph17_candidate_steps", sql(SLICE1 + f""", ordered AS (SELECT seed, id, row_number() OVER (PARTITION BY seed ORDER BY distance, id) AS pos FROM seen),
-st AS (SELECT seed, id, row_number() OVER (PARTITION BY seed ORDER BY score DESC, id) AS r FROM (SELECT s.seed, n.id, {STATE} AS score FROM seen s JOIN node n ON n.id = s.id) WHERE score > 0)
-SELECT seed, CASE WHEN pos = 1 THEN 'trigger' ELSE 'core' END AS role, id FROM ordered WHERE pos <= 3
-UNION ALL SELECT st.seed, 'state', st.id FROM st WHERE r <= 2 AND NOT EXISTS (SELECT 1 FROM ordered o WHERE o.seed = st.seed AND o.id = st.id AND o.pos <= 3)"""))
-def _(x):
-    return candidate_steps(x, g.traverse(_graph(x)[0], _entry_seeds(x), direction="both", depth=1, limit=None))
-
-@query("rank02_slice_state_nodes")
+@query("rank02_state_nodes", sql(SLICE + f"SELECT seed, position, id, score FROM (SELECT s.seed, n.id, {STATE} AS score, row_number() OVER (PARTITION BY seed ORDER BY {STATE} DESC, n.id) AS position FROM seen s JOIN node n ON n.id = s.id WHERE {STATE} > 0) WHERE position <= 4"))
 def slice_state_nodes(x):
     return state_nodes(x, slices(x, _graph(x)[0]), 4).select("seed", "position", "id", "score")
 
 
-@query("rank03_slice_key_edges")
+@query("rank03_key_edges", sql(SLICE + f"SELECT seed, position, id FROM (SELECT a.seed, e.id, row_number() OVER (PARTITION BY a.seed ORDER BY e.id) AS position FROM edge e JOIN seen a ON a.id = e.source_id JOIN seen b ON b.id = e.target_id AND b.seed = a.seed WHERE e.kind IN {_lit_list(g.IMPACT_KINDS)}) WHERE position <= 4"))
 def slice_key_edges(x):
     edges, _ = _graph(x)
     return top(g.induced(edges, slices(x, edges), g.IMPACT_KINDS), ["seed"], ["id"], 4).select("seed", "position", "id")
 
 
-@query("graph16_slice_projection")
+@query("graph16_prompt_projection", sql(SLICE + f""", ranked AS (SELECT s.seed, n.id, {LABEL.replace('path', 'n.path')} AS label, row_number() OVER (PARTITION BY s.seed ORDER BY s.distance, n.id) AS position, count(*) OVER (PARTITION BY s.seed) AS nodes FROM seen s JOIN node n ON n.id = s.id)
+SELECT seed, any_value(nodes) AS nodes, string_agg(id, ',' ORDER BY position) AS first_nodes, string_agg(label, ',' ORDER BY position) AS labels FROM ranked WHERE position <= 12 GROUP BY seed"""))
 def slice_projection(x):
     return prompt_projection(x, slices(x, _graph(x)[0]))
 
 
-@query("graph17_slice_steps")
+@query("graph17_candidate_steps", sql(SLICE + f""", ordered AS (SELECT seed, id, row_number() OVER (PARTITION BY seed ORDER BY distance, id) AS pos FROM seen),
+st AS (SELECT seed, id, row_number() OVER (PARTITION BY seed ORDER BY score DESC, id) AS r FROM (SELECT s.seed, n.id, {STATE} AS score FROM seen s JOIN node n ON n.id = s.id) WHERE score > 0)
+SELECT seed, CASE WHEN pos = 1 THEN 'trigger' ELSE 'core' END AS role, id FROM ordered WHERE pos <= 3
+UNION ALL SELECT st.seed, 'state', st.id FROM st WHERE r <= 2 AND NOT EXISTS (SELECT 1 FROM ordered o WHERE o.seed = st.seed AND o.id = st.id AND o.pos <= 3)"""))
 def slice_steps(x):
     return candidate_steps(x, slices(x, _graph(x)[0]))
 
