@@ -23,7 +23,7 @@ NAMES = (r"(?:[A-Za-z][A-Za-z0-9]*[_-])*(?:api[_-]?key|client[_-]?secret|secret(
          r"database[_-]?url|connection[_-]?string|password|passwd|private[_-]?key|credential)s?")
 NAMES_NARROW = (r"(?:api[_-]?key|client[_-]?secret|access[_-]?token|auth[_-]?token|refresh[_-]?token|github[_-]?token|database[_-]?url|connection[_-]?string|"
                 r"secret|password|passwd|private[_-]?key|credential)s?")
-KEY = r"(?s)-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----.*?-----END (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----"
+KEY = r"-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----[\s\S]*?-----END (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----"
 URL = r"(?i)\b([a-z][a-z0-9+.-]*://)([^\s/@:]+):([^\s/@]+)@"
 BEARER = r"(?i)(\b(?:authorization\s*:\s*)?bearer\s+)[^\s,;]+"
 FULL_FIELDS = {"description", "explanation", "license", "message", "notes", "purpose", "reason", "remote", "signature", "snippet", "summary", "text"}

@@ -79,17 +79,41 @@ def _(x):
     return x.raw("project_snapshots").select("name", "remote", fp.clean_remote("remote").alias("clean")).distinct()
 
 
-@query("fn01_redact_opaque")
+#: The checks spell the patterns out for themselves; what a back reference says there is written as one case per quote.
+_FRAMES = [
+    (r"-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----[\s\S]*?-----END (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----", "[REDACTED PRIVATE KEY]"),
+    (r"(?i)\b([a-z][a-z0-9+.-]*://)[^\s/@:]+:[^\s/@]+@", r"\1[REDACTED]@"),
+    (r"(?i)(\b(?:authorization\s*:\s*)?bearer\s+)[^\s,;]+", r"\1[REDACTED]"),
+]
+_CLOUD, _HUB, _FINE, _LAB = r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b", r"\bgh[pousr]_[A-Za-z0-9_]{20,}\b", r"(?i)\bgithub_pat_[A-Za-z0-9_]{20,}\b", r"(?i)\bglpat-[A-Za-z0-9_-]{12,}\b"
+_CHAT, _ANT, _STAGE, _PLAIN, _JWT = (r"(?i)\bxox[baprs]-[A-Za-z0-9_-]{12,}\b", r"(?i)\bsk-ant-[A-Za-z0-9_-]{12,}\b", r"\b(?:sk|rk)-(?:live|test|proj)-[A-Za-z0-9_-]{12,}\b", r"\bsk-[A-Za-z0-9_-]{20,}\b",
+                                     r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\b")
+_WIDE = [(t, "[REDACTED]") for t in (_CLOUD, _HUB, _FINE, _LAB, _CHAT, _ANT, _STAGE, _PLAIN, _JWT)]
+_FEW = [(t, "[REDACTED]") for t in (_CLOUD, _HUB, _FINE, _STAGE, _JWT)]
+_VALUE = r"""\b\s*[:=]\s*)(?:"[^\r\n,;#"']+"|'[^\r\n,;#"']+'|[^\r\n,;#"']+)"""
+_NAMED = (r"(?i)(\b(?:[A-Za-z][A-Za-z0-9]*[_-])*(?:api[_-]?key|client[_-]?secret|secret(?:[_-]access)?[_-]?key|access[_-]?token|auth[_-]?token|refresh[_-]?token|token|database[_-]?url|connection[_-]?string|"
+          r"password|passwd|private[_-]?key|credential)s?" + _VALUE, r"\1[REDACTED]")
+_NAMED_FEW = (r"(?i)(\b(?:api[_-]?key|client[_-]?secret|access[_-]?token|auth[_-]?token|refresh[_-]?token|github[_-]?token|database[_-]?url|connection[_-]?string|secret|password|passwd|private[_-]?key|credential)s?" + _VALUE, r"\1[REDACTED]")
+
+
+def _replaced(c: str, steps: list[tuple[str, str]]) -> str:
+    quote = lambda t: "'" + t.replace("'", "''") + "'"
+    for pattern, by in steps:
+        c = f"regexp_replace({c}, {quote(pattern)}, {quote(by)}, 'g')"
+    return c
+
+
+@query("fn01_redact_opaque", sql(f"SELECT id, {_replaced('snippet', [*_FRAMES, *_WIDE])} AS redacted FROM ev"))
 def _(x):
     return x.evidence.select("id", fr.redact_opaque("snippet").alias("redacted"))
 
 
-@query("fn02_redact_text")
+@query("fn02_redact_text", sql(f"SELECT id, {_replaced('snippet', [*_FRAMES, *_WIDE, _NAMED, *_WIDE])} AS redacted FROM ev"))
 def _(x):
     return x.evidence.select("id", fr.redact_text("snippet").alias("redacted"))
 
 
-@query("fn03_redact_evidence")
+@query("fn03_redact_evidence", sql(f"SELECT id, {_replaced('snippet', [*_FRAMES, _NAMED_FEW, *_FEW])} AS redacted FROM ev"))
 def _(x):
     return x.evidence.select("id", fr.redact_evidence("snippet").alias("redacted"))
 
