@@ -336,8 +336,9 @@ def _(x):
 
 @query("rank07_co_winners", sql(OPTION_SQL + " SELECT slug, project, score::BIGINT AS score FROM (SELECT *, max(score) OVER (PARTITION BY slug) AS best FROM o) WHERE best - score <= 15"))
 def _(x):
-    o = options(x)
-    return o.withColumn("best", F.max("score").over(Window.partitionBy("slug"))).where("best - score <= 15").select("slug", "project", F.col("score").cast("bigint").alias("score"))
+    o = Workspace(x.spark, "options").write(options(x), "options")
+    best = o.groupBy("slug").agg(F.max("score").alias("best"))
+    return o.join(best, "slug").where("best - score <= 15").select("slug", "project", F.col("score").cast("bigint").alias("score"))
 
 
 @query("rank08_scenario_choice", sql(OPTION_SQL + f" SELECT slug, project, v FROM (SELECT slug, project, {_weighted_sql(SCENARIOS['local-first-product'])} AS v, row_number() OVER (PARTITION BY slug ORDER BY {_weighted_sql(SCENARIOS['local-first-product'])} DESC, project) AS rn FROM o) WHERE rn <= 2"))

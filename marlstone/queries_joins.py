@@ -10,6 +10,7 @@ from .functions import paths as fp
 from .functions import redact as fr
 from .functions import text as ft
 from .functions.keys import clean_key
+from .operators.ranges import overlapping_ranges, places_in_ranges
 from .operators.prefix import running
 from .operators.resolve import first_match, import_candidates, prefixes, unique_match
 from .plans.session import Workspace
@@ -192,14 +193,17 @@ def _(x):
 @query("join09_symbol_at_line", sql("SELECT r.id, s.id AS symbol_id FROM rel r JOIN sym s ON s.project = r.project AND s.path = r.path AND r.line BETWEEN s.line AND s.end_line QUALIFY row_number() OVER (PARTITION BY r.id ORDER BY s.line DESC, s.id DESC) = 1"))
 def _(x):
     s = x.symbols.select("project", "path", F.col("line").alias("a"), F.col("end_line").alias("b"), F.col("id").alias("symbol_id"))
-    j = x.relationships.select("id", "project", "path", "line").join(s, ["project", "path"]).where("line between a and b")
+    j = places_in_ranges(x.relationships.select("id", "project", "path", "line"), s, ["project", "path"], "line", "a", "b")
     return j.groupBy("id").agg(F.max(F.struct("a", "symbol_id"))["symbol_id"].alias("symbol_id"))
 
 
 @query("join10_smallest_enclosing", sql("SELECT e.id, s.id AS symbol_id FROM ev e JOIN sym s ON s.project = e.project AND s.path = e.path AND s.line <= e.line_start AND s.end_line >= e.line_end QUALIFY row_number() OVER (PARTITION BY e.id ORDER BY s.end_line - s.line, s.qualified_name, s.id) = 1"))
 def _(x):
     s = x.symbols.select("project", "path", F.col("line").alias("a"), F.col("end_line").alias("b"), "qualified_name", F.col("id").alias("symbol_id"))
-    j = x.evidence.select("id", "project", "path", "line_start", "line_end").join(s, ["project", "path"]).where("a <= line_start and b >= line_end")
+    e = x.evidence.select("id", "project", "path", "line_start", "line_end")
+    j = places_in_ranges(e.where("line_start <= line_end"), s, ["project", "path"], "line_start", "a", "b").where("b >= line_end")
+    # A range the wrong way round lies between what begins before its start and ends behind its end.
+    j = j.unionByName(overlapping_ranges(e.where("line_start > line_end"), s, ["project", "path"], "line_end", "line_start", "a", "b"))
     return j.groupBy("id").agg(F.min(F.struct(F.col("b") - F.col("a"), "qualified_name", "symbol_id"))["symbol_id"].alias("symbol_id"))
 
 
@@ -207,7 +211,8 @@ def _(x):
 SELECT DISTINCT a.slice AS source_slice, c.slice AS target_slice, x.id AS edge_id FROM edge x JOIN b a ON a.symbol_id = x.source_id JOIN b c ON c.symbol_id = x.target_id AND c.feature_id = a.feature_id WHERE a.slice <> c.slice"""))
 def _(x):
     s = x.symbols.select("project", "path", F.col("line").alias("a"), F.col("end_line").alias("b"), F.col("id").alias("symbol_id"))
-    b = x.evidence.where("feature_id is not null").join(s, ["project", "path"]).where("a <= line_end and b >= line_start").select(F.col("id").alias("slice"), "symbol_id", "feature_id")
+    e = x.evidence.where("feature_id is not null").select("id", "project", "path", "feature_id", "line_start", "line_end")
+    b = overlapping_ranges(e, s, ["project", "path"], "line_start", "line_end", "a", "b").select(F.col("id").alias("slice"), "symbol_id", "feature_id")
     l = b.select(F.col("slice").alias("source_slice"), F.col("symbol_id").alias("source_id"), "feature_id")
     r = b.select(F.col("slice").alias("target_slice"), F.col("symbol_id").alias("target_id"), F.col("feature_id").alias("f2"))
     return x.edges.join(l, "source_id").join(r, "target_id").where("feature_id = f2 and source_slice <> target_slice").select("source_slice", "target_slice", F.col("id").alias("edge_id")).distinct()
@@ -216,7 +221,7 @@ def _(x):
 @query("join12_range_overlap", sql("SELECT e.id AS evidence_id, count(*) AS symbols FROM ev e JOIN sym s ON s.project = e.project AND s.path = e.path AND e.line_start <= s.end_line AND s.line <= e.line_end GROUP BY e.id"))
 def _(x):
     s = x.symbols.select("project", "path", "line", "end_line")
-    return x.evidence.select("id", "project", "path", "line_start", "line_end").join(s, ["project", "path"]).where("line_start <= end_line and line <= line_end").groupBy(F.col("id").alias("evidence_id")).agg(N().alias("symbols"))
+    return overlapping_ranges(x.evidence.select("id", "project", "path", "line_start", "line_end"), s, ["project", "path"], "line_start", "line_end", "line", "end_line").groupBy(F.col("id").alias("evidence_id")).agg(N().alias("symbols"))
 
 
 @query("join13_capability_evidence", sql("""a AS (SELECT id, regexp_replace(unnest(evidence_ids), '^\\s+|\\s+$', '', 'g') AS e FROM cap), b AS (SELECT id, unnest(source_feature_ids) AS f FROM cap)
