@@ -7,10 +7,13 @@ leaves a folder nobody points at. Existing generations are never overwritten.
 
 from __future__ import annotations
 
+import fcntl
 import hashlib
 import json
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +28,18 @@ def _write_small(path: str, text: str) -> None:
     os.replace(tmp, path)
 
 
+@contextmanager
+def output_lock(output: str) -> Iterator[None]:
+    """One writer at a time in a folder: a second one fails at once. The file stays; the lock ends with its holder, however that ends."""
+    os.makedirs(output, exist_ok=True)
+    with open(f"{output}/.writer.lock", "w", encoding="utf-8") as f:
+        try:
+            fcntl.flock(f, fcntl.LOCK_EX | fcntl.LOCK_NB)
+        except BlockingIOError as e:
+            raise RuntimeError(f"another writer holds {output}") from e
+        yield
+
+
 def _hashes(spark: SparkSession, folder: str) -> DataFrame:
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(folder)
     rel = F.expr(f"substring(regexp_replace(path, '^file:/+', '/'), {len(folder) + 2})")
@@ -32,9 +47,14 @@ def _hashes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def publish(output: str, tables: dict[str, DataFrame]) -> str:
-    """Writes a generation of named tables and points at it; returns its id."""
-    spark = next(iter(tables.values())).sparkSession
+    """Writes a generation of named tables and points at it, alone in its folder; returns its id."""
     output = os.path.abspath(output)
+    with output_lock(output):
+        return _publish(output, tables)
+
+
+def _publish(output: str, tables: dict[str, DataFrame]) -> str:
+    spark = next(iter(tables.values())).sparkSession
     stage = f"{output}/stage-{uuid.uuid4().hex}"
     for name, df in tables.items():
         df.write.mode("errorifexists").parquet(f"{stage}/{name}")

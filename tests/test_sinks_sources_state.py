@@ -26,6 +26,14 @@ def test_generations(spark, tmp_path):
         sinks.read_current(spark, out, "t")
 
 
+def test_one_writer_at_a_time(spark, tmp_path):
+    out = str(tmp_path / "locked")
+    with sinks.output_lock(out):
+        with pytest.raises(RuntimeError):
+            sinks.publish(out, {"t": spark.range(1)})
+    assert sinks.publish(out, {"t": spark.range(1)})
+
+
 def test_scan_tree(spark, tmp_path):
     (tmp_path / "src").mkdir()
     (tmp_path / "node_modules").mkdir()
