@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from marlstone.llm import credentials as cr
 from marlstone.llm.components import connected_groups
@@ -246,6 +247,22 @@ def test_a_template_over_repositories_is_no_family_of_one(spark):
     assert len(got) == 12 and not [r for r in got if r.label]
 
 
+def test_copies_in_the_middle_of_a_bucket(spark):
+    # Two copies share buckets with texts of many repositories that are unlike them; the first and the last repository (by number) are never theirs.
+    from marlstone.llm.lexing import shingle_hashes, token_codes
+
+    r = random.Random(5)
+    shape = [r.choice(FORMS) for _ in range(120)]
+    renamed = lambda i, n: "".join(f.format(f"{j}v{i}", f"{j}w{i}", j) if j in n else f.format(j, j, j) for j, f in enumerate(shape))
+    places = [x.p for x in spark.range(42).selectExpr("concat('r', id) AS p").orderBy(F.xxhash64("p")).collect()]
+    rows = [(f"f{i}", p, f"src/m{i}.py", renamed(i, range(60 * (i - 20), 60 * (i - 20) + 8) if i in (20, 21) else r.sample(range(120), 16))) for i, p in enumerate(places)]
+    sets = [[set(shingle_hashes(c).tolist()) for c in token_codes(x[3])] for x in rows]
+    alike = lambda x, y: all(len(a & b) >= 0.8 * len(a | b) for a, b in zip(sets[x], sets[y]))
+    assert [(x, y) for x in range(42) for y in range(x) if alike(x, y)] == [(21, 20)]
+    got = label_files(spark.createDataFrame(rows, FILES), spark.createDataFrame([], LIBS)).where("label = 'vendored'").collect()
+    assert {x.file_id for x in got} == {"f20", "f21"}
+
+
 def test_groups_with_names_that_share_a_number(spark):
     from pyspark.sql import functions as F
 
