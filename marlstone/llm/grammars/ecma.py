@@ -176,6 +176,8 @@ def _word(text: str, pos: int) -> str:
 
 
 _KNOWN: dict[str, bool] = {}
+#: Ends of a text that stand after its last token, so that looking ahead never leaves it.
+AHEAD = 5
 
 
 class Parser:
@@ -185,9 +187,10 @@ class Parser:
         self.k, self.w, self.nl = ([*x] for x in tokens[:3])
         self.ts = ts
         if tokens[3]:
-            self.k.append("eof")
-            self.w.append("")
-            self.nl.append(True)
+            # As many as the grammar looks ahead.
+            self.k += ["eof"] * AHEAD
+            self.w += [""] * AHEAD
+            self.nl += [True] * AHEAD
         self.p = 0
         self.fn = self.asyn = self.gen = self.loop = self.brk = False
         self.ambient = False
@@ -195,7 +198,7 @@ class Parser:
         self.cover = -1
         self.no_in = False
         self.no_cond_type = False
-        n = len(self.k)
+        n = len(tokens[0]) + tokens[3]
         self.close = {}
         stack = []
         for i, k in enumerate(self.k):

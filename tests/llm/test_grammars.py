@@ -70,6 +70,13 @@ def test_json_round_trip(value):
     assert accepts("javascript", f"x = {json.dumps(value)};")
 
 
+def test_a_text_may_end_anywhere():
+    for text in ("a:", "export", "declare :", "type", "async", "abstract", "import", "a: b:"):
+        for language in ("javascript", "typescript"):
+            assert accepts(language, text) is (text in ("type", "async", "abstract")), (language, text)
+    assert verdict("a.ts", "a:")[4] == "corrupt"
+
+
 def test_memo_depends_on_context():
     assert accepts("javascript", "function f() {\n  return x;\n}\n")
     assert not accepts("javascript", "return x;\n")
