@@ -33,12 +33,42 @@ _TEMPLATE = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*(`|\$\{)")
 _IDENT = re.compile(r"[\w$\u200c\u200d]+|\\u(?:[0-9a-fA-F]{4}|\{[0-9a-fA-F]+\})")
 _ESCAPE = re.compile(r"\\(?:u(?![0-9a-fA-F]{4}|\{0*(?:10|[0-9a-fA-F])?[0-9a-fA-F]{1,4}\})|x(?![0-9a-fA-F]{2})|[1-9]|0\d)")
 _OPEN = {"(": ")", "[": "]", "{": "}"}
+_CLOSE = frozenset(_OPEN.values())
 
 
 class Bad(ValueError):
     pass
 
 
+_NUMBER = r"""(?:0|[1-9]\d*(?:_\d+)*)n|0[xX][0-9a-fA-F]+(?:_[0-9a-fA-F]+)*n?|0[oO][0-7]+(?:_[0-7]+)*n?|0[bB][01]+(?:_[01]+)*n?|(?:(?:0|[1-9]\d*(?:_\d+)*)(?:\.(?:\d+(?:_\d+)*)?)?|\.\d+(?:_\d+)*)(?:[eE][+-]?\d+(?:_\d+)*)?"""
+_WHOLE_NUMBER = re.compile(_NUMBER)
+#: Signs that begin a template, and slashes that are no comment's.
+_TIED = re.compile(r"`|(?<!/)/(?!/)")
+#: One token, with what follows a number at once, or one character that is none; for lines without templates, divisions and regular expressions. The blanks after it are skipped.
+_PLAIN = re.compile(
+    r"""([A-Za-z_$][\w$]*|[ \t\f\v]*[\n\r][ \t\f\v\n\r]*|//[^\n\r\u2028\u2029]*|/\*[\s\S]*?\*/"""
+    rf"""|(?>{_NUMBER})[\w$]*"""
+    r"""|"(?:[^"\\\n\r]|\\(?:\r\n|[\s\S]))*"|'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*'"""
+    r"""|>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|%=|&=|\|=|\^=|<<|>>|\*\*|[\s\S])[ \t]*"""
+)
+_SIGNS = frozenset(">>>= ... === !== **= <<= >>= >>> &&= ||= ??= => == != <= >= && || ?? ?. ++ -- += -= *= %= &= |= ^= << >> ** { } ( ) [ ] ; , < > + - * % & | ^ ! ~ ? : = . @ #".split())
+
+
+#: token -> its kind, else the kind by its first character: " " for comments and blanks, "\n" for what holds a line's end, "odd" for what is no token.
+_FIXED = {w: w for w in (*RESERVED, *_SIGNS)} | dict.fromkeys("\"'\\", "odd") | dict.fromkeys(" \t\f\v", " ")
+_FIRST = dict.fromkeys("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_$", "i") | dict.fromkeys("0123456789.", "n") | dict.fromkeys("\"'", "s") | dict.fromkeys("\n\r \t\f\v", "\n") | {"/": " "}
+
+
+def _escapes(w: str) -> None:
+    if _ESCAPE.search(w):
+        i = 0
+        while (e := _ESCAPE.search(w, i)) is not None:
+            back = len(w[: e.start()]) - len(w[: e.start()].rstrip("\\"))
+            if back % 2 == 0:
+                raise Bad("escape")
+            i = e.start() + 1
+
+
 def _lex(text: str, limit: int | None = None) -> tuple[list[str], list[str], list[bool], bool]:
     """kinds, words, newline-before, and whether the text was read to its end; with a limit about so many tokens are read."""
     kinds: list[str] = []
@@ -49,9 +79,11 @@ def _lex(text: str, limit: int | None = None) -> tuple[list[str], list[str], lis
     if text.startswith("#!"):
         pos = len(text.split("\n", 1)[0])
     match = _TOKEN.match
+    fixed, first = _FIXED.get, _FIRST.get
     stack: list[str] = []
     heads: list[bool] = []  # of each open parenthesis: does it follow if, while, for or with?
     head = False
+    inside, tied = 0, 0  # open templates, and where the lines end that are read token by token
     while pos < n:
         if limit is not None and len(kinds) > limit:
             return kinds, words, fresh, False
@@ -72,6 +104,40 @@ def _lex(text: str, limit: int | None = None) -> tuple[list[str], list[str], lis
         if g == "nl":
             nl = True
             pos = end
+            if limit is not None or inside or pos < tied:
+                continue
+            # Lines whose tokens do not depend on what is before them, at once.
+            stop = _TIED.search(text, pos)
+            tied = n if stop is None else text.rfind("\n", pos, stop.start()) + 1
+            if tied <= pos:
+                continue
+            found = _PLAIN.findall(text, pos, tied)
+            marks = [fixed(w) or first(w[0], "odd") for w in found]
+            if "odd" in marks:
+                continue
+            for k, w in zip(marks, found):
+                if k == "\n":
+                    nl = True
+                elif k != " ":
+                    if k in _OPEN:
+                        stack.append(k)
+                        if k == "(":
+                            heads.append(bool(kinds) and kinds[-1] in ("if", "while", "for", "with"))
+                    elif k in _CLOSE:
+                        if not stack or _OPEN[stack.pop()] != k:
+                            raise Bad("bracket")
+                        if k == ")":
+                            head = heads.pop()
+                    elif k == "s":
+                        if "\\" in w:
+                            _escapes(w)
+                    elif k == "n" and not _WHOLE_NUMBER.fullmatch(w):
+                        raise Bad("number")
+                    kinds.append(k)
+                    words.append(w)
+                    fresh.append(nl)
+                    nl = False
+            pos = tied
             continue
         if g == "bc":
             if "\n" in m[0]:
@@ -91,13 +157,8 @@ def _lex(text: str, limit: int | None = None) -> tuple[list[str], list[str], lis
                 raise Bad("number")
             k = "n"
         elif g == "st":
-            if "\\" in w and _ESCAPE.search(w):
-                i = 0
-                while (e := _ESCAPE.search(w, i)) is not None:
-                    back = len(w[: e.start()]) - len(w[: e.start()].rstrip("\\"))
-                    if back % 2 == 0:
-                        raise Bad("escape")
-                    i = e.start() + 1
+            if "\\" in w:
+                _escapes(w)
             k = "s"
         elif g == "pu":
             k = w
@@ -130,6 +191,7 @@ def _lex(text: str, limit: int | None = None) -> tuple[list[str], list[str], lis
                     fresh.append(nl)
                     nl = False
                     pos = _template(text, end, stack, kinds, words, fresh)
+                    inside -= kinds[-1] == "t"
                     continue
                 if _OPEN[o] != w:
                     raise Bad("bracket")
@@ -139,6 +201,7 @@ def _lex(text: str, limit: int | None = None) -> tuple[list[str], list[str], lis
             fresh.append(nl)
             nl = False
             pos = _template(text, end, stack, kinds, words, fresh)
+            inside += kinds[-1] == "${"
             continue
         kinds.append(k)
         words.append(w)
@@ -175,6 +238,30 @@ def _word(text: str, pos: int) -> str:
     return out
 
 
+def _layout(tokens: tuple[list[str], list[str], list[bool], bool]) -> tuple[dict[int, int], dict[int, tuple[str, int]]]:
+    """Matching brackets, and shape and end of the line that begins at a token."""
+    kinds, words, fresh, whole = tokens
+    close: dict[int, int] = {}
+    stack: list[int] = []
+    for i, k in enumerate(kinds):
+        if k in _OPEN:
+            stack.append(i)
+        elif k in _CLOSE:
+            if not stack or _OPEN[kinds[stack[-1]]] != k:
+                raise Bad("bracket")
+            close[stack.pop()] = i
+    if stack and whole:
+        raise Bad("bracket")
+    line: dict[int, tuple[str, int]] = {}
+    starts = [i for i, new in enumerate(fresh) if new and i]
+    if whole and kinds:
+        starts.append(len(kinds))
+    for a, b in zip([0, *starts], starts):
+        if kinds[b - 1] == ";" and b - a <= 60:
+            line[a] = (" ".join([w if k == "i" and w in _SPECIAL else k for k, w in zip(kinds[a:b], words[a:b])]), b)
+    return close, line
+
+
 _KNOWN: dict[str, bool] = {}
 #: Ends of a text that stand after its last token, so that looking ahead never leaves it.
 AHEAD = 5
@@ -183,7 +270,7 @@ AHEAD = 5
 class Parser:
     """Over the first tokens of a text only, the parser runs out of them (IndexError, KeyError) unless it refuses before."""
 
-    def __init__(self, tokens: tuple[list[str], list[str], list[bool], bool], ts: bool):
+    def __init__(self, tokens: tuple[list[str], list[str], list[bool], bool], layout: tuple[dict, dict], ts: bool):
         self.k, self.w, self.nl = ([*x] for x in tokens[:3])
         self.ts = ts
         if tokens[3]:
@@ -198,22 +285,8 @@ class Parser:
         self.cover = -1
         self.no_in = False
         self.no_cond_type = False
-        n = len(tokens[0]) + tokens[3]
-        self.close = {}
-        stack = []
-        for i, k in enumerate(self.k):
-            if k in ("(", "[", "{"):
-                stack.append(i)
-            elif k in (")", "]", "}"):
-                self.close[stack.pop()] = i
-        # Shape and end of the line that begins at a token.
-        self.line: dict[int, tuple[str, int]] = {}
-        a = 0
-        for i in range(1, n):
-            if self.nl[i]:
-                if self.k[i - 1] == ";" and i - a <= 60:
-                    self.line[a] = (" ".join([self.w[j] if self.k[j] == "i" and self.w[j] in _SPECIAL else self.k[j] for j in range(a, i)]), i)
-                a = i
+        # Replaced, never changed: both grammars share them.
+        self.close, self.line = layout
 
     # -- helpers
     def bad(self):
@@ -1619,10 +1692,10 @@ _STATEMENTS = {
 HEAD = 24
 
 
-def _takes(tokens: tuple, ts: bool) -> bool | None:
+def _takes(tokens: tuple, layout: tuple, ts: bool) -> bool | None:
     """None where the tokens end before the grammar can tell."""
     try:
-        Parser(tokens, ts).module()
+        Parser(tokens, layout, ts).module()
     except Bad:
         return False
     except (IndexError, KeyError):
@@ -1636,15 +1709,17 @@ def check_ecma(text: str) -> tuple[bool, bool]:
     """(is it an ECMAScript module, is it TypeScript): tokens are made once, and what is the first is the second too."""
     try:
         tokens = _lex(text, HEAD)
-        js = _takes(tokens, False)
+        layout = _layout(tokens)
+        js = _takes(tokens, layout, False)
         if js:
             return True, True
         ts = None
-        if js is False and (ts := _takes(tokens, True)) is not None:
+        if js is False and (ts := _takes(tokens, layout, True)) is not None:
             return False, ts
         tokens = _lex(text)
-        if js is None and _takes(tokens, False):
+        layout = _layout(tokens)
+        if js is None and _takes(tokens, layout, False):
             return True, True
-        return False, bool(_takes(tokens, True))
+        return False, bool(_takes(tokens, layout, True))
     except Bad:
         return False, False

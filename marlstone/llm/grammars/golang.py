@@ -14,20 +14,49 @@ BINARY = {"||": 1, "&&": 2, "==": 3, "!=": 3, "<": 3, "<=": 3, ">": 3, ">=": 3,
 ASSIGN = frozenset("= := += -= *= /= %= &= |= ^= <<= >>= &^=".split())
 
 _ESC = r"""\\(?:[abfnrtv\\]|[0-3][0-7]{2}|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U00(?:0[0-9a-fA-F]|10)[0-9a-fA-F]{4}|%s)"""
+_NUMBER = r"0[xX](?:_?[0-9a-fA-F])+(?:\.(?:[0-9a-fA-F](?:_?[0-9a-fA-F])*)?)?(?:[pP][+-]?\d+)?i?|0[bB](?:_?[01])+i?|0[oO](?:_?[0-7])+i?|(?:\d(?:_?\d)*(?:\.(?:\d(?:_?\d)*)?)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?i?"
+#: One token, with what follows a number at once, or one character that is none; the blanks after it are skipped.
 _TOKEN = re.compile(
-    r"(?P<sp>[ \t\r]+)|(?P<nl>\n)|(?P<lc>//[^\n]*)|(?P<bc>/\*[\s\S]*?\*/)"
-    r"|(?P<id>[^\W\d]\w*)"
-    r"|(?P<nm>0[xX](?:_?[0-9a-fA-F])+(?:\.(?:[0-9a-fA-F](?:_?[0-9a-fA-F])*)?)?(?:[pP][+-]?\d+)?i?|0[bB](?:_?[01])+i?|0[oO](?:_?[0-7])+i?|(?:\d(?:_?\d)*(?:\.(?:\d(?:_?\d)*)?)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?i?)"
-    rf"|(?P<st>\"(?:[^\"\\\n]|{_ESC % chr(34)})*\"|`[^`]*`)|(?P<ch>'(?:[^'\\\n]|{_ESC % chr(39)})')"
-    r"|(?P<pu><<=|>>=|&\^=|\.\.\.|&&|\|\||<-|\+\+|--|==|!=|<=|>=|:=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|&\^|[-+*/%&|^<>=!()\[\]{},;.:~])"
+    r"([^\W\d]\w*|\n|//[^\n]*|/\*[\s\S]*?\*/"
+    rf"|(?>{_NUMBER})\w*"
+    rf"|\"(?:[^\"\\\n]|{_ESC % chr(34)})*\"|`[^`]*`|'(?:[^'\\\n]|{_ESC % chr(39)})'"
+    r"|<<=|>>=|&\^=|\.\.\.|&&|\|\||<-|\+\+|--|==|!=|<=|>=|:=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|&\^|[\s\S])[ \t\r]*"
 )
+_WHOLE_NUMBER = re.compile(_NUMBER)
+_SIGNS = frozenset("<<= >>= &^= ... && || <- ++ -- == != <= >= := += -= *= /= %= &= |= ^= << >> &^ - + * / % & | ^ < > = ! ( ) [ ] { } , ; . : ~".split())
 _OPEN = {"(": ")", "[": "]", "{": "}"}
+_CLOSE = frozenset(_OPEN.values())
 
 
 class Bad(ValueError):
     pass
 
 
+#: token -> its kind, else the kind by its first character.
+_FIXED = {w: w for w in (*KEYWORDS, *_SIGNS)} | dict.fromkeys(" \t\r", "") | {"\n": "\n"}
+_FIRST = dict.fromkeys("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_", "i")
+
+
+def _kind(w: str) -> str:
+    """A line's end for what holds one, nothing for other comments."""
+    c = w[0]
+    if w[:2] == "//":
+        return ""
+    if w[:2] == "/*":
+        return "\n" if "\n" in w else ""
+    if c in "\"`'" and len(w) > 1:
+        return "n" if c == "'" else "s"
+    if c == "." or c.isdecimal():
+        if _WHOLE_NUMBER.fullmatch(w) is None:
+            raise Bad("number")
+        if len(w) > 1 and c == "0" and w.isdigit() and set(w) & set("89"):
+            raise Bad("octal")
+        return "n"
+    if not c.isalnum():
+        raise Bad("character")
+    return "i"
+
+
 _KNOWN: set[str] = set()
 
 
@@ -38,24 +67,22 @@ def _lex(text: str, limit: int | None = None) -> tuple[list[str], list[str], dic
     close: dict[int, int] = {}
     stack: list[int] = []
     lines: list[tuple[int, int]] = []
-    pos, n, begin = 0, len(text), 0
+    fixed, first = _FIXED.get, _FIRST.get
+    pos, begin = 0, 0
     if text.startswith("﻿"):
         pos = 1
     if "\0" in text or "﻿" in text[1:]:
         raise Bad("character")
-    match = _TOKEN.match
-    while pos < n:
+    found = _TOKEN.findall(text, pos) if limit is None else (m[1] for m in _TOKEN.finditer(text, pos))
+    for w in found:
         if limit is not None and len(kinds) > limit:
             return kinds, words, close, lines, False
-        m = match(text, pos)
-        if m is None:
-            raise Bad("character")
-        g, pos = m.lastgroup, m.end()
-        if g == "sp":
+        k = fixed(w)
+        if k is None:
+            k = first(w[0]) or _kind(w)
+        if not k:
             continue
-        if g == "nl" or g == "lc" or g == "bc":
-            if g == "lc" or g == "bc" and "\n" not in m[0]:
-                continue
+        if k == "\n":
             if kinds and kinds[-1] in ENDERS:
                 kinds.append(";")
                 words.append("\n")
@@ -63,27 +90,12 @@ def _lex(text: str, limit: int | None = None) -> tuple[list[str], list[str], dic
                 lines.append((begin, len(kinds)))
                 begin = len(kinds)
             continue
-        w = m[0]
-        if g == "id":
-            k = w if w in KEYWORDS else "i"
-        elif g == "nm":
-            if pos < n and (text[pos].isalnum() or text[pos] == "_"):
-                raise Bad("number")
-            if len(w) > 1 and w[0] == "0" and w.isdigit() and set(w) & set("89"):
-                raise Bad("octal")
-            k = "n"
-        elif g == "st":
-            k = "s"
-        elif g == "ch":
-            k = "n"
-        else:
-            k = w
-            if w in "([{":
-                stack.append(len(kinds))
-            elif w in ")]}":
-                if not stack or _OPEN[kinds[stack[-1]]] != w:
-                    raise Bad("bracket")
-                close[stack.pop()] = len(kinds)
+        if k in _OPEN:
+            stack.append(len(kinds))
+        elif k in _CLOSE:
+            if not stack or _OPEN[kinds[stack[-1]]] != k:
+                raise Bad("bracket")
+            close[stack.pop()] = len(kinds)
         kinds.append(k)
         words.append(w)
     if stack:

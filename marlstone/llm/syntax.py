@@ -37,13 +37,13 @@ for _k, _words in _FIRST.items():
         _POINTS.setdefault(_w, []).append(_k)
 #: Operators and forms, counted anywhere.
 _SIGNS = {"python": ["):\n", " not ", " is None"], "javascript": ["=>", "===", ");\n"], "typescript": ["=>", ": string", ": number", ": boolean", "<string"], "go": [":=", "err != nil", "*"], "json": ['": '], "toml": ["]\n", " = "]}
-_BEGIN = re.compile(r"^[ \t]*([A-Za-z_]\w*|[^\s\w])", re.M)
+_BEGIN = re.compile(r"\n[ \t]*([A-Za-z_]\w*|[^\s\w])")
 
 
 def rank_languages(text: str) -> list[str]:
     """All languages in the order of their tokens' points, ties in the order of ENDINGS."""
     score = dict.fromkeys(ENDINGS.values(), 0)
-    for w, n in Counter(_BEGIN.findall(text)).items():
+    for w, n in Counter(_BEGIN.findall("\n" + text)).items():
         for k in _POINTS.get(w, ()):
             score[k] += n
     for k, signs in _SIGNS.items():

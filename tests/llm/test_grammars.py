@@ -1,4 +1,5 @@
 import json
+import re
 import tomllib
 import warnings
 
@@ -6,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from marlstone.llm.grammars import accepts
+from marlstone.llm.grammars import accepts, ecma
 from marlstone.llm.syntax import failed, parse_files, parse_rates, rank_languages, verdict
 
 GOOD = {
@@ -77,6 +78,26 @@ def test_a_text_may_end_anywhere():
     assert verdict("a.ts", "a:")[4] == "corrupt"
 
 
+def test_lines_read_at_once_give_the_tokens_of_each(monkeypatch):
+    """Texts of plain lines, and of plain lines between templates, slashes and numbers that are none."""
+    odd = ["x = a / b", "`a${", "b", "}c`", "/re/.test(x)", "// c / d", "/* e", "*/", "1a", "x = 1.a", "'a\\\nb'", "if (x)", "/y/.z", "é = 1", "a ? b : c", "'\\u12'"]
+    pieces = [*GOOD["javascript"], *GOOD["typescript"], *BAD["javascript"], *odd]
+    texts = ["\n".join(pieces[i : i + n]) for n in (1, 2, 3, 5) for i in range(len(pieces))]
+
+    def tokens():
+        out = []
+        for t in texts:
+            try:
+                out.append(ecma._lex(t))
+            except ecma.Bad:
+                out.append(None)
+        return out
+
+    at_once = tokens()
+    monkeypatch.setattr(ecma, "_TIED", re.compile(""))
+    assert at_once == tokens() and sum(x is not None for x in at_once) > 100
+
+
 def test_memo_depends_on_context():
     assert accepts("javascript", "function f() {\n  return x;\n}\n")
     assert not accepts("javascript", "return x;\n")
